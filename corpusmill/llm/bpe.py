@@ -2,7 +2,7 @@
 
 The encodings of byte strings form a monoid: ``join(encode(a), encode(b)) == encode(a + b)``. A string is encoded by
 halves, recursively. Neighbours are joined by encoding a window around the seam again: at first the tokens on either
-side, then one more on each side that has not settled. A side has settled when the window's outer token and the token
+side, then more on each side that has not settled, twice as many each time. A side has settled when the window's outer token and the token
 next to it outside stay two tokens if encoded together. An encoding in which each pair of neighbours stays two tokens
 is the encoding, so once both sides have settled nothing outside the window can change. Texts are cut into the matches of
 the pattern first, and those are encoded separately. Decoding concatenates bytes up the tree.
@@ -11,6 +11,7 @@ the pattern first, and those are encoded separately. Decoding concatenates bytes
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -45,9 +46,12 @@ def default_pattern() -> str:
 
 
 class TreeEncoder:
-    """Encoder of byte strings and texts. Caches are bounded: they start afresh at ``room`` entries."""
+    """Encoder of byte strings and texts. Caches are bounded: one that reaches ``room`` entries starts afresh.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 250_000) -> None:
+    The cache of text units has two generations, so that units in use survive a fresh start.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 200_000) -> None:
         import regex
 
         self.ranks, self.room = ranks, room
@@ -57,22 +61,59 @@ class TreeEncoder:
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
+        self.windows: dict[bytes, tuple[int, ...]] = {}
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> tuple[int, ...]:
-        """The merges themselves, on the few bytes of a window: the lowest rank first, the leftmost among equals."""
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple([ranks[p] for p in parts])
+        """The merges themselves, on the bytes of a window: the lowest rank first, the leftmost among equals."""
+        found = self.windows.get(data)
+        if found is None:
+            if len(data) > 48:
+                return self._merged_long(data)
+            ranks = self.ranks
+            parts = [data[i : i + 1] for i in range(len(data))]
+            around = [ranks.get(data[i : i + 2], 1 << 30) for i in range(len(data) - 1)]
+            while around:
+                best = min(around)
+                if best == 1 << 30:
+                    break
+                at = around.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del around[at]
+                if at:
+                    around[at - 1] = ranks.get(parts[at - 1] + parts[at], 1 << 30)
+                if at < len(around):
+                    around[at] = ranks.get(parts[at] + parts[at + 1], 1 << 30)
+            if len(self.windows) >= self.room:
+                self.windows.clear()
+            found = self.windows[data] = tuple([ranks[p] for p in parts])
+        return found
+
+    def _merged_long(self, data: bytes) -> tuple[int, ...]:
+        """The same merges for long windows, from a heap of pairs over a linked list of parts."""
+        ranks, n = self.ranks, len(data)
+        ends = list(range(1, n + 1))  # the part that begins at i ends at ends[i]; 0 once it is merged away
+        before = list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:
+                continue
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := ranks.get(data[i : ends[end]])) is not None:
+                    heapq.heappush(heap, (r, i, ends[end]))
+            if before[i] >= 0 and (r := ranks.get(data[before[i] : end])) is not None:
+                heapq.heappush(heap, (r, before[i], end))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : ends[i]]])
+            i = ends[i]
+        return tuple(out)
 
     def stays(self, a: int, b: int) -> bool:
         """Whether two tokens side by side are the encoding of their bytes."""
@@ -89,15 +130,18 @@ class TreeEncoder:
             return left or right
         if self.stays(left[-1], right[0]):
             return left + right
-        i, j = len(left) - 1, 1
+        i, j, step = len(left) - 1, 1, 1
         while True:
             window = self.merged(b"".join([self.tokens[t] for t in left[i:] + right[:j]]))
             settled_left = i == 0 or self.stays(left[i - 1], window[0])
             settled_right = j == len(right) or self.stays(window[-1], right[j])
             if settled_left and settled_right:
                 return left[:i] + window + right[j:]
-            i -= not settled_left
-            j += not settled_right
+            if not settled_left:
+                i = max(0, i - step)
+            if not settled_right:
+                j = min(len(right), j + step)
+            step *= 2
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Ids of one match of the pattern, by halves."""
@@ -108,7 +152,6 @@ class TreeEncoder:
             return (whole,)
         found = self.halves.get(data)
         if found is None:
-            # the halves of a balanced tree; long strings are walked by level, so that depth stays logarithmic
             middle = len(data) // 2
             found = self.join(self.encode_bytes(data[:middle]), self.encode_bytes(data[middle:]))
             if len(data) <= 16:
@@ -138,10 +181,13 @@ class TreeEncoder:
             unit = " " + word if n or first else word
             packed = units.get(unit)
             if packed is None:
-                packed = self.encode_unit(unit)
+                packed = self.older.get(unit)
+                if packed is None:
+                    packed = self.encode_unit(unit)
                 if len(unit) <= 64:
                     if len(units) >= self.room:
-                        units.clear()
+                        self.older, self.units = units, {}
+                        units = self.units
                     units[unit] = packed
             out.append(packed)
         return b"".join(out)
