@@ -117,14 +117,23 @@ def fold(doc_id: str = "doc_id", of: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[int, list[str]]:
-    """Texts by label, at most ``rows`` of either, those with the lowest hashes of their ids."""
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    both = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull() & (F.length("text") <= chars))
-    both = both.join(marked, "doc_id").select("label", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    out: dict[int, list[str]] = {}
-    for value in (0, 1):
-        out[value] = [r["text"] for r in both.where(F.col("label") == value).orderBy("h", "doc_id").limit(rows).collect()]
-    return out
+    """Texts by label, at most ``rows`` of either, those with the lowest hashes of their ids.
+
+    The choice is made from ids and lengths; only chosen texts (at most 2 * rows * chars characters) leave the
+    executors, met by a broadcast of at most 2 * rows ids.
+    """
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    sized = docs.where(usable & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    both = sized.where(F.col("n").between(1, chars)).join(marked, "doc_id").select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    chosen = [both.where(F.col("label") == value).orderBy("h", "doc_id").limit(rows) for value in (0, 1)]
+    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "label", "h").collect()
+    if not ids:
+        return {0: [], 1: []}
+    spark = docs.sparkSession
+    few = F.broadcast(spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int, h long"))
+    texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(few, "doc_id").collect()
+    texts = sorted({(r["label"], r["h"], r["doc_id"], r["text"]) for r in texts})
+    return {value: [t for v, _, _, t in texts if v == value] for value in (0, 1)}
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
