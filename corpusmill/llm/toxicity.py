@@ -10,6 +10,7 @@ turns into a score.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from .quality_classifier import fold, labelled_sample
 
 GRAMS, BITS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 18, 16, 12
 #: Bounds of the labelled sample: rows of either label, and characters of a row that may take part.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 12_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 6_000
 #: Bytes of text that are scored together.
 CHUNK = 1 << 20
 
@@ -114,15 +115,19 @@ class _Trainer:
 
     def __init__(self, texts: list[str], seed: int) -> None:
         self.rng = np.random.default_rng(seed)
-        made = [_joined(t) for t in texts]
-        sizes = np.array([n for _, n in made])
-        n, parts = grams(np.frombuffer(b"".join(d for d, _ in made) or b"  ", np.uint8))
-        n = int(sizes.sum())
-        word = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.int32)
-        h = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.int32)
-        order = np.argsort(word, kind="stable")
-        self.h, per_word = h[order], np.bincount(word, minlength=n)
-        self.per_word, self.first = per_word, np.r_[0, np.cumsum(per_word)]
+        number: dict[bytes, int] = {}
+        tokens, sizes = array("i"), []
+        for text in texts:
+            words = text.lower().encode("utf-8", "surrogatepass").split()
+            tokens.extend([number.setdefault(w, len(number)) for w in words])
+            sizes.append(len(words))
+        self.tokens, sizes = np.frombuffer(tokens, np.int32), np.array(sizes)
+        n, parts = grams(np.frombuffer(b" " + b" ".join(number) + b" ", np.uint8))
+        word = np.concatenate([w for w, _ in parts])
+        h = np.concatenate([x for _, x in parts])
+        self.h = h[np.argsort(word, kind="stable")]
+        self.per_word = np.bincount(word, minlength=n)
+        self.first = np.r_[0, np.cumsum(self.per_word)]
         begins = np.cumsum(sizes) - sizes
         counts = -(-sizes // WINDOW)
         self.document = np.repeat(np.arange(len(texts)), counts)
@@ -137,7 +142,7 @@ class _Trainer:
     def _rows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the n-grams of windows, their weights in the window's mean, and where windows begin."""
         words = self.end[windows] - self.begin[windows]
-        word = np.repeat(self.begin[windows] - (np.cumsum(words) - words), words) + np.arange(words.sum())
+        word = self.tokens[np.repeat(self.begin[windows] - (np.cumsum(words) - words), words) + np.arange(words.sum())]
         many = self.per_word[word]
         at = np.repeat(self.first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         weight = np.repeat(1.0 / (np.maximum(many, 1) * np.repeat(words, words)), many).astype(np.float32)
@@ -171,8 +176,8 @@ class _Trainer:
 
     def window_logits(self, windows: np.ndarray) -> np.ndarray:
         table, out = self.gram_scores(), []
-        for i in range(0, len(windows), 4096):
-            h, weight, begins = self._rows(windows[i : i + 4096])
+        for i in range(0, len(windows), 1024):
+            h, weight, begins = self._rows(windows[i : i + 1024])
             out.append(np.add.reduceat(table[h] * weight, begins))
         return np.concatenate(out) + self.bias[1] - self.bias[0] if out else np.zeros(0)
 
