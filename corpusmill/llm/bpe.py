@@ -45,6 +45,24 @@ def default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+class _Units(dict):
+    """Ids of words that follow a space, made when first asked for; two generations of bounded size."""
+
+    def __init__(self, encoder: TreeEncoder, room: int) -> None:
+        self.encoder, self.room, self.older = encoder, room, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.encoder.encode_unit(" " + word)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class TreeEncoder:
     """Encoder of byte strings and texts. Caches are bounded: one that reaches ``room`` entries starts afresh.
 
@@ -62,8 +80,7 @@ class TreeEncoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
         self.windows: dict[bytes, tuple[int, ...]] = {}
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.units = _Units(self, room)
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """The merges themselves, on the bytes of a window: the lowest rank first, the leftmost among equals."""
@@ -171,26 +188,9 @@ class TreeEncoder:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        cut = SAFE_CUT.split(text) if CLOSE_SPACES.search(text) else text.split(" ")
-        units, out = self.units, []
-        if cut[0] == "":  # the text begins with a space
-            first, cut = 1, cut[1:]
-        else:
-            first = 0
-        for n, word in enumerate(cut):
-            unit = " " + word if n or first else word
-            packed = units.get(unit)
-            if packed is None:
-                packed = self.older.get(unit)
-                if packed is None:
-                    packed = self.encode_unit(unit)
-                if len(unit) <= 64:
-                    if len(units) >= self.room:
-                        self.older, self.units = units, {}
-                        units = self.units
-                    units[unit] = packed
-            out.append(packed)
-        return b"".join(out)
+        words = SAFE_CUT.split(text) if CLOSE_SPACES.search(text) else text.split(" ")
+        first = self.encode_unit(words[0]) if words[0] else b""
+        return first + b"".join(map(self.units.__getitem__, words[1:]))
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_packed(text)).tolist() if text else []
