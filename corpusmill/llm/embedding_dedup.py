@@ -4,11 +4,11 @@ Unit vectors are cut into halves, and each half has its own codebook; a pair of
 which indexes every vector. A vector visits cells in the order of a lower bound on the distance to anything in them:
 what lies in a cell is nearer to the cell's codewords than to any other, so it lies beyond the bisecting planes, and the
 distances to the planes of both halves add up. The traversal walks both sorted sequences of half bounds at once and
-ends where the bound passes the radius that the similarity allows. ``recall`` below 1 ends it earlier; at 1 no link can
-be missed, whatever the codebooks are. Visited pairs are verified in double precision.
+ends where the bound passes what the target recall asks for; at recall 1 that is the radius itself, and no link can be
+missed, whatever the codebooks are. Visited pairs are verified in double precision.
 
-Equal vectors are one class from the start. A cell with many members is dealt into parts that are searched apart, and a
-task gives out sums of links and the links that span its groups, never all pairs.
+Equal vectors are one class from the start. A block of cells with many members is dealt into parts that are searched
+apart, and a task gives out sums of links and the links that span its groups, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from .simhash import spanning
 THRESHOLD = 0.95
 #: Bound of the sample that the codebooks are fitted on.
 SAMPLE = 20_000
-#: Members of a cell that are searched together, and queries that meet them at once.
-PART, QUERIES = 2048, 2048
+#: Share of the links at the threshold itself that the traversal has to find; nearer ones are found more surely.
+RECALL = 0.999
+#: Members of a block that are aimed at and the most that are searched together, and queries that meet them at once.
+BLOCK, PART, QUERIES = 1024, 4096, 2048
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -128,10 +130,27 @@ def codewords_for(n: int) -> int:
     return int(min(256, max(4, 2 ** round(math.log2(max(1.0, math.sqrt(n / 8)))))))
 
 
-def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
+def radius2_for(threshold: float, recall: float, dim: int, k: int) -> float:
+    """Squared bound at which the traversal may end.
+
+    Unit vectors with cosine ``threshold`` are delta^2 = 2 - 2 * threshold apart, and at recall 1 that is the bound.
+    A displacement in no special direction has a share of more than t of its square in a plane with odds of
+    (1 - t)^((dim - 2) / 2); below 1 the bound is where those odds, once for each codeword near by (at most 16 are
+    counted), come to 1 - recall.
+    """
+    delta2 = 2 - 2 * threshold
+    if recall >= 1 or dim <= 4:
+        return delta2 + 1e-9
+    odds = (1 - recall) / min(k, 16)
+    return delta2 * (1 - odds ** (2 / (dim - 2))) + 1e-9
+
+
+def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``(u, v, links)`` for classes of one dimension, ``classes(rep, n, vec)``.
 
     Rows with v have a link that spans a group; rows without say that u has ``links`` more vectors linked to it.
+    Cells that share the first codeword are shipped to by the block, so a vector travels once a block and not once a
+    cell; in a block it meets the members of the cells that it visits.
     """
     spark = classes.sparkSession
     sample = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").select("vec").limit(SAMPLE).collect()]
@@ -139,8 +158,10 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
     rng = np.random.default_rng(3)
     k = codewords_for(n)
     books = (codebook(x[:, :half], k, rng), codebook(x[:, half:], k, rng))
-    radius2 = (2 - 2 * threshold) * recall**2 + 1e-9
+    radius2 = radius2_for(threshold, recall, dim, k)
     columns = len(books[1])
+    wide = int(min(columns, max(1, BLOCK * len(books[0]) * columns // max(1, n))))  # second codewords of a block
+    across = -(-columns // wide)
 
     def own_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,96 +170,106 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["rep", "n", "vec", "cell"])
 
     members = staged(classes.select("rep", "n", "vec").mapInArrow(own_cells, "rep long, n long, vec binary, cell int"), "cells")
-    # at most one row a cell, 65 536 in all
-    parts = {r["cell"]: r["parts"] for r in members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).where("parts > 1").collect()}
-    filled = np.zeros(len(books[0]) * columns, np.int32)
-    for r in members.select("cell").distinct().collect():
-        filled[r["cell"]] = parts.get(r["cell"], 1)
+    filled = np.zeros(len(books[0]) * columns, bool)
+    sizes = np.zeros(len(books[0]) * across, np.int64)
+    for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).collect():  # at most 65 536 rows
+        filled[r["cell"]] = True
+        sizes[r["cell"] // columns * across + r["cell"] % columns // wide] += r["m"]
+    parts = np.maximum(1, -(-sizes // PART)).astype(np.int64)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "part", "own", "rep", "n", "vec"]
+        names = ["block", "part", "own", "cell", "rep", "n", "vec"]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rep, own = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+                rep, cell = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+                block = cell // columns * across + cell % columns // wide
                 u = unit(batch.column(2).to_pylist(), dim)
-                part = np.array([hash_part(r, filled[c]) for r, c in zip(rep.tolist(), own.tolist(), strict=True)], np.int32)
-                _, first = bounds(u[:, :half], books[0])
-                _, second = bounds(u[:, half:], books[1])
-                row, i, j = traverse(first, second, radius2)
-                cell = i * columns + j
-                later = (cell > own[row]) & (filled[cell] > 0)  # each pair of cells meets in the later one
-                row, cell = row[later], cell[later]
-                # to every part of a visited cell, and to the earlier parts of one's own
-                copies = filled[cell]
-                row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-                to = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                mine = np.repeat(np.arange(len(own)), part)
-                mine_to = np.arange(len(mine)) - np.repeat(np.cumsum(part) - part, part)
-                take = np.concatenate([np.arange(len(own)), row, mine])
-                cells = np.concatenate([own, cell, own[mine]]).astype(np.int32)
-                dealt = np.concatenate([part, to, mine_to]).astype(np.int32)
-                is_own = np.r_[np.ones(len(own), bool), np.zeros(len(row) + len(mine), bool)]
+                part = np.array([hash_part(r, p) for r, p in zip(rep.tolist(), parts[block].tolist(), strict=True)], np.int64)
+                row, i, j = traverse(bounds(u[:, :half], books[0])[1], bounds(u[:, half:], books[1])[1], radius2)
+                later = (i * columns + j > cell[row]) & filled[i * columns + j]  # two cells meet in the later one
+                pairs = np.unique(row[later] * len(sizes) + i[later] * across + j[later] // wide)
+                row, to = pairs // len(sizes), pairs % len(sizes)
+                own_too = np.setdiff1d(np.arange(len(rep)) * len(sizes) + block, pairs)  # for the earlier parts of its own cell
+                row, to = np.r_[row, own_too // len(sizes)], np.r_[to, own_too % len(sizes)]
+                copies = np.where(np.arange(len(row)) < len(pairs), parts[to], part[row])
+                at_part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, to = np.repeat(row, copies), np.repeat(to, copies)
+                away = (to != block[row]) | (at_part != part[row])
+                take = np.r_[np.arange(len(rep)), row[away]]
+                made = [np.r_[block, to[away]].astype(np.int32), np.r_[part, at_part[away]].astype(np.int32), np.arange(len(take)) < len(rep)]
                 picked = batch.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(dealt), pa.array(is_own), picked.column(0), picked.column(1), picked.column(2)], names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(m) for m in made], picked.column(3), picked.column(0), picked.column(1), picked.column(2)], names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell = table.column("cell").to_numpy().astype(np.int64) << 32 | table.column("part").to_numpy()
-            own, rep, n = (table.column(c).to_numpy() for c in ("own", "rep", "n"))
-            change = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
+        def group(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs of row numbers that link, a cell of the block after the other."""
+            own, cell, part, rep = (t.column(c).to_numpy() for c in ("own", "cell", "part", "rep"))
+            first = int(t.column("block")[0].as_py())
+            u = unit(t.column("vec").to_pylist(), dim)
+            near = bounds(u[:, :half], books[0])[1][:, first // across]
+            second = bounds(u[:, half:], books[1])[1]
+            for c in np.unique(cell[own]).tolist():
+                mine = np.flatnonzero(own & (cell == c))
+                p, q = np.nonzero(np.triu(u[mine] @ u[mine].T >= threshold, 1))
+                yield mine[p], mine[q]
+                earlier = (cell < c) & (near + second[:, c % columns] <= radius2)
+                others = np.flatnonzero(earlier | ((cell == c) & ~own & (later_part(rep, part, int(parts[first])))))
+                for at in range(0, len(others), QUERIES):
+                    few = others[at : at + QUERIES]
+                    p, q = np.nonzero(u[mine] @ u[few].T >= threshold)
+                    yield mine[p], few[q]
+
+        def answer(table: pa.Table, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+            change = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             us, vs, adds = [], [], []
             for a, b in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
-                if b - a < 2 or not own[a:b].any():
-                    continue
-                u = unit(table.column("vec").slice(a, b - a).to_pylist(), dim)
-                mine, others = np.flatnonzero(own[a:b]), np.flatnonzero(~own[a:b])
-                found = []
-                similar = u[mine] @ u[mine].T >= threshold
-                p, q = np.nonzero(np.triu(similar, 1))
-                found.append((mine[p], mine[q]))
-                for c in range(0, len(others), QUERIES):
-                    p, q = np.nonzero(u[mine] @ u[others[c : c + QUERIES]].T >= threshold)
-                    found.append((mine[p], others[c : c + QUERIES][q]))
-                p, q = (np.concatenate([f[s] for f in found]) for s in (0, 1))
-                if not len(p):
-                    continue
-                size = n[a:b].astype(np.float64)
-                more = np.bincount(p, weights=size[q], minlength=b - a) + np.bincount(q, weights=size[p], minlength=b - a)
-                root = spanning(b - a, p, q)
-                moved, linked = np.flatnonzero(root != np.arange(b - a)), np.flatnonzero(more)
-                us += [rep[a:b][moved], rep[a:b][linked]]
-                vs += [rep[a:b][root[moved]], np.full(len(linked), -1)]
-                adds += [np.zeros(len(moved)), more[linked]]
-            if us:
-                v, is_link = np.concatenate(vs), np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(vs)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(v, mask=~is_link), pa.array(np.concatenate(adds).astype(np.int64))], ["u", "v", "links"])
+                t = table.slice(a, b - a)
+                rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy().astype(np.float64)
+                more, label = np.zeros(b - a), np.arange(b - a)
+                for p, q in group(t) if b - a > 1 and t.column("own").to_numpy().any() else ():
+                    if len(p):
+                        more += np.bincount(p, weights=n[q], minlength=b - a) + np.bincount(q, weights=n[p], minlength=b - a)
+                        moved = np.flatnonzero(label != np.arange(b - a))
+                        label = spanning(b - a, np.r_[p, moved], np.r_[q, label[moved]])
+                moved, linked = np.flatnonzero(label != np.arange(b - a)), np.flatnonzero(more)
+                us += [rep[moved], rep[linked]]
+                vs += [rep[label[moved]], np.full(len(linked), -1)]
+                adds += [np.full(len(moved), -1.0), more[linked]]
+            u, v, add = (np.concatenate(a) for a in (us, vs, adds))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=add >= 0), pa.array(add.astype(np.int64))], ["u", "v", "links"])
 
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 50_000:
+            if rows >= 20_000:
                 table = pa.Table.from_batches(held)
-                key = table.column("cell").to_numpy().astype(np.int64) << 32 | table.column("part").to_numpy()
+                key = table.column("block").to_numpy().astype(np.int64) << 32 | table.column("part").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from answer(table.slice(0, cut))
+                    yield from answer(table.slice(0, cut), key[:cut])
                 held, rows = table.slice(cut).to_batches(), table.num_rows - cut
         if rows:
-            yield from answer(pa.Table.from_batches(held))
+            table = pa.Table.from_batches(held)
+            yield from answer(table, table.column("block").to_numpy().astype(np.int64) << 32 | table.column("part").to_numpy())
 
-    dealt = members.mapInArrow(visits, "cell int, part int, own boolean, rep long, n long, vec binary")
-    dealt = dealt.repartition(partitions(spark), "cell", "part").sortWithinPartitions("cell", "part")
+    dealt = members.mapInArrow(visits, "block int, part int, own boolean, cell int, rep long, n long, vec binary")
+    dealt = dealt.repartition(partitions(spark), "block", "part").sortWithinPartitions("block", "part")
     return dealt.mapInArrow(search, "u long, v long, links long")
 
 
 def hash_part(rep: int, parts: int) -> int:
-    """Part of a large cell that a class belongs to."""
+    """Part of a large block that a class belongs to."""
     return (rep * 0x9E3779B97F4A7C15 >> 17) % parts if parts > 1 else 0
 
 
-def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: float = 1.0) -> DataFrame:
+def later_part(rep: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """Whether a class of the block belongs to a later part than the one that it was sent to."""
+    return np.array([hash_part(r, parts) for r in rep.tolist()], np.int64) > part if parts > 1 else np.zeros(len(rep), bool)
+
+
+def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``table(vec_id, embedding)``.
 
     Vectors of unlike dimensions never link. A vector that is null, zero or not finite in a component, and a row
