@@ -59,8 +59,7 @@ def grams(data: np.ndarray) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
             break
         value[:-n] = value[:-n] * np.uint32(0x01000193) + wide[n:]
         if n + 1 in GRAMS:
-            ok = ~inside[:-n] & ~(space[:-n] & space[n:] if n == 1 else False)
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero(~inside[:-n])
             mixed = (value[at] ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
             out.append((word[at], (mixed >> np.uint32(32 - BITS)).astype(np.int32)))
         inside[:-n] |= space[n:]  # position n is inside for longer n-grams
