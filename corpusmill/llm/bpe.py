@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,20 +214,26 @@ def encode_table(docs: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TreeEncoder(load_ranks(path), pattern)
-        for batch in batches:
-            made: list[list] = [[], [], [], []]
-            for text in batch.column(1):
-                packed = encoder.encode_packed(text.as_py() or "")
-                numbers = array("I", packed)
-                made[0].append(numbers if ids else None)
-                made[1].append(len(numbers))
-                made[2].append(hashlib.sha256(packed).hexdigest())
-                made[3].append(hashlib.sha256(encoder.decode(numbers)).hexdigest())
-            kinds = (pa.list_(pa.int64()), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array([None if x is None else x.tolist() for x in made[0]], kinds[0]), *[pa.array(m, k) for m, k in zip(made[1:], kinds[1:], strict=True)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<long>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few rows at a time, since texts may be long
+                batch = whole.slice(at, 256)
+                held, counts, digests, decoded = [], [], [], []
+                for text in batch.column(1):
+                    packed = encoder.encode_packed(text.as_py() or "")
+                    counts.append(len(packed) // 4)
+                    digests.append(hashlib.sha256(packed).hexdigest())
+                    decoded.append(hashlib.sha256(encoder.decode(array("I", packed))).hexdigest())
+                    if ids:
+                        held.append(packed)
+                if ids:
+                    values = pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))
+                    column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+                else:
+                    column = pa.nulls(len(counts), pa.list_(pa.int32()))
+                made = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), column, *made], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_table(encoded: DataFrame, path: str | None = None) -> DataFrame:
