@@ -30,7 +30,7 @@ PLACES = WINDOW - ANCHOR + 1
 #: Documents that may share a prefix before it is lengthened.
 GROUP = 20_000
 #: Suffixes that a task has in memory at once (whole groups, so up to GROUP times a document's repeats more).
-CHUNK = 100_000
+CHUNK = 25_000
 NO_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20)
