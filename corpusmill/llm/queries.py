@@ -67,4 +67,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT doc_id, line, length(line) - length(replace(line, ' ', '')) + 1 AS n, length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, line, c, NOT regexp_matches(right(rtrim(line, ' '), 4), '[.!?:;…。！？]["''”’»)\]]*$') OR len(regexp_extract_all(line, '[!?#*$%&<>^~=_+]{{2,}}')) > 0.3 * n OR len(regexp_extract_all(line, '[|›•·>]')) > 0.15 * n
+ OR regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}') AS bad FROM lw),
+by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(c) FILTER (bad), 0) AS lost FROM judged GROUP BY doc_id),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+ FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 * word_chars AS kept FROM b""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u),
+c AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT c.vec_id, (SELECT count(*) FROM pairs WHERE pairs.u = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c""",
+    "op8_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM again),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+}
