@@ -169,7 +169,7 @@ def unit_mean(df: DataFrame, keys: list[str]) -> np.ndarray:
     """A4: unit mean over papers of their mean vectors; an error without papers."""
     per_paper = V.mean_vector(df, "vec", keys)
     rows = V.mean_vector(per_paper.withColumnRenamed("mean", "vec"), "vec", []).collect()
-    if not rows or rows[0]["mean"] is None:
+    if not rows or not rows[0]["mean"]:
         raise ValueError("no seed vectors for an anchor")
     return l2(np.array(rows[0]["mean"]))
 
