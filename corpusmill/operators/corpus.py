@@ -83,3 +83,13 @@ def download_counts(rows: DataFrame) -> DataFrame:
     return flagged.agg(
         F.count_if("__f").alias("unique"), F.count_if(~F.col("__f")).alias("duplicate"), F.count_if(F.col("__f") & F.col("ok")).alias("downloaded"), F.count_if(F.col("__f") & ~F.col("ok")).alias("failed")
     )
+
+
+def judged_count(verdicts: DataFrame) -> DataFrame:
+    """Papers with a verdict."""
+    return verdicts.where("verdict is not null").agg(F.count_distinct("pdf_path").alias("papers"))
+
+
+def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """File names of the manifest that the corpus folder lacks, to be copied."""
+    return manifest.where("source_file <> ''").select("source_file").distinct().join(files.select(F.col("basename").alias("source_file")), "source_file", "left_anti")

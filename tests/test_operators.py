@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.functions import grounding, stats
+from corpusmill.functions import grounding, register, stats
 from corpusmill.functions import text as X
 from corpusmill.functions import vectors as V
-from corpusmill.operators import corpus, geometry, gold, judging, layout, ranking, reports, topics
+from corpusmill.operators import corpus, geometry, gold, judging, layout, prompts, ranking, reports, topics
 from corpusmill.sources import readers, store
 from corpusmill.streaming import ingest
 
@@ -422,3 +422,32 @@ def test_reports(spark, tmp_path, corpus_vectors):
     assert tuple(ranking.labelled_counts(records).first()) == (7, 7, 1)
     assert reports.number(float("nan")) == "n/a" and reports.number(0.12345) == "+0.123"
     assert not math.isnan(ranking.pooled_rho(report).where("n > 2").first().rho or 0)
+
+
+def test_prompts_and_work(spark):
+    windows = spark.createDataFrame([("p", 0, "body", "Topic", None), ("p", 1, "more", None, None)], "pdf_path string, chunk_idx int, text string, topic string, blurb string")
+    done = spark.createDataFrame([("p", 0, "adaptors")], "pdf_path string, chunk_idx int, criterion string")
+    work = prompts.work_list(windows, done)
+    assert work.count() == 5
+    rows = {(r.chunk_idx, r.criterion): r.prompt for r in work.collect()}
+    assert rows[0, "two_worlds"].startswith("Passage:\nbody") and "Topic: Topic" in rows[0, "two_worlds"] and "contrary" in rows[1, "arbitrariness"] and "Topic" not in rows[1, "adaptors"]
+    reply = lambda system, prompt: '{"agreement": "agree", "confidence": "high", "evidence_quote": "body"}'
+    parsed = judging.parse_graded(judging.judge(work.withColumn("code_number", F.lit(1)), reply), "raw")
+    gated = grounding.gate_graded(parsed, passage="text")
+    records = judging.chunk_records(gated, F.col("prompt_hash"))
+    assert {(r.chunk_idx, r.agreement) for r in records.collect()} == {(0, 0.5), (1, 0.0)}
+    assert prompts.registry(work).count() == 3
+    assert prompts.payload(spark.createDataFrame([("p", "abcdef")], "pdf_path string, text string"), 3).first() == ("p", "abc", "abcdef")
+
+
+def test_sql_functions(spark):
+    assert "quote_coverage" in register.register(spark)
+    assert spark.sql("select quote_coverage('genetic code', 'the genetic-code').coverage").first()[0] < 1
+    assert spark.sql("select fold_marks('A\u2013 b')").first()[0] == "ab"
+
+
+def test_counts_and_files(spark):
+    v = spark.createDataFrame([("p", "met"), ("p", "met"), ("q", None)], "pdf_path string, verdict string")
+    assert corpus.judged_count(v).first().papers == 1
+    manifest = spark.createDataFrame([("a",), ("b",), ("",)], "source_file string")
+    assert [r.source_file for r in corpus.missing_files(manifest, spark.createDataFrame([("x/a", "a")], "pdf_path string, basename string")).collect()] == ["b"]
