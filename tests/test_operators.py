@@ -181,10 +181,10 @@ def test_prose_windows(spark):
 
 
 def test_signatures_and_entries(spark):
-    refs = "Adl SM, Simpson (2005) One\nwrapped 1999 line\nGabius, H.-J. (2000) Two\nno entry"
+    refs = "Orr SM, Quill (2005) One\nwrapped 1999 line\nVelt, H.-J. (2000) Two\nno entry"
     df = spark.createDataFrame([("d", refs)], "k string, t string")
     rows = X.reference_entries(df, "k", "t").orderBy("entry_no").select("entry", X.signature(F.col("entry")).alias("s")).collect()
-    assert [(r.s.surname, r.s.year) for r in rows] == [("adl", "2005"), ("gabius", "2000")] and rows[0].entry.endswith("wrapped 1999 line")
+    assert [(r.s.surname, r.s.year) for r in rows] == [("orr", "2005"), ("velt", "2000")] and rows[0].entry.endswith("wrapped 1999 line")
     assert value(spark.createDataFrame([("nobody",)], "t string").select(X.signature(F.col("t")))) is None
 
 
