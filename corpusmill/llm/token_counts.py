@@ -34,38 +34,51 @@ class CountingTrie:
     ``room`` nodes.
     """
 
-    def __init__(self, scores: dict[bytes, float], room: int = 300_000) -> None:
-        self.scores, self.room = scores, room
-        self.longest = max(map(len, scores), default=1)
+    def __init__(self, scores: dict[bytes, float], room: int = 400_000) -> None:
+        #: Every ending of a piece: its score, or minus infinity if it is no piece itself. A walk back from a character
+        #: stops where no piece ends like that.
+        self.endings: dict[bytes, float] = {}
+        for piece in scores:
+            for i in range(len(piece)):
+                tail = piece[i:]
+                if tail not in self.endings:
+                    self.endings[tail] = scores.get(tail, -math.inf)
+        self.room = room
         self.root: list = [0.0, 0, {}]
         self.nodes = 0
+        self.terminal: dict[bytes, int] = {}
+
+    def token(self, token: bytes) -> int:
+        """Pieces of the best segmentation of ``token``, from its terminal count if it was met before."""
+        found = self.terminal.get(token)
+        if found is None:
+            if self.nodes > self.room:
+                self.root, self.nodes, self.terminal = [0.0, 0, {}], 0, {}
+            found = self.terminal[token] = self.count(token)
+        return found
 
     def count(self, token: bytes) -> int:
-        """Pieces of the best segmentation of ``token``; its prefixes are computed where no other token has."""
-        node, path = self.root, [self.root]
-        scores, longest = self.scores, self.longest
+        """The same from the trie; prefixes are computed where no other token has."""
+        node, path, endings = self.root, [self.root], self.endings
         for end, byte in enumerate(token, 1):
             child = node[2].get(byte)
             if child is None:
-                best, pieces = -math.inf, 0
-                for begin in range(max(0, end - longest), end):
-                    score = scores.get(token[begin:end])
-                    if score is not None:
-                        before = path[begin]
-                        score += before[0]
-                        if score > best or (score == best and before[1] + 1 < pieces):
-                            best, pieces = score, before[1] + 1
+                best, pieces, begin = -math.inf, 0, end - 1
+                while begin >= 0:
+                    score = endings.get(token[begin:end])
+                    if score is None:
+                        break
+                    before = path[begin]
+                    score += before[0]
+                    if score > best or (score == best and before[1] + 1 < pieces):
+                        best, pieces = score, before[1] + 1
+                    begin -= 1
                 child = node[2][byte] = [best, pieces, {}]
                 self.nodes += 1
             node = child
             path.append(node)
         return node[1]
 
-    def token(self, token: bytes) -> int:
-        if self.nodes > self.room:
-            self.root, self.nodes = [0.0, 0, {}], 0
-        return self.count(token)
-
 
 class _Units(dict):
     """Counts of words that follow a space, made when first asked for; two generations of bounded size."""
@@ -90,7 +103,7 @@ class TokenCounter:
 
     SHIFT = 40
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 400_000) -> None:
         import regex
 
         self.trie = CountingTrie(piece_scores(ranks))
