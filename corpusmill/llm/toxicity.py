@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .quality_classifier import fold, labelled_sample
 
-GRAMS, BITS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 18, 16, 12
+GRAMS, BITS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 18, 16, 3
 #: Bounds of the labelled sample: rows of either label, and characters of a row that may take part.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 6_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 12_000
 #: Bytes of text that are scored together.
 CHUNK = 1 << 20
 
