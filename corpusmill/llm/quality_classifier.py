@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: rows of either label, and characters of a row that may take part.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
-DICTIONARY_BYTES, BLOCK, LEVEL = 65_536, 1024, 3
+DICTIONARY_BYTES, BLOCK, LEVEL = 262_144, 512, 6
 
 
 @dataclass
