@@ -48,9 +48,9 @@ def rebalanced(slot_map: DataFrame, loads: DataFrame, n_shards: int) -> DataFram
     with_load = slot_map.join(loads, "virtual_slot", "left").select(
         "virtual_slot", "version", F.when(F.col("shard") < n_shards, F.col("shard")).alias("shard"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes")
     )
-    share = with_load.agg((F.coalesce(F.sum("bytes"), F.lit(0)) / n_shards).alias("share"))
     in_order = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
-    judged = with_load.crossJoin(F.broadcast(share)).withColumn("stays", F.col("shard").isNotNull() & (F.sum("bytes").over(in_order) <= F.col("share")))
+    share = F.sum("bytes").over(Window.partitionBy(F.lit(0))) / n_shards
+    judged = with_load.withColumn("stays", F.col("shard").isNotNull() & (F.sum("bytes").over(in_order) <= share))
     state = judged.agg(
         F.collect_list(F.when(F.col("stays"), F.struct("shard", "bytes"))).alias("kept"),
         F.reverse(F.array_sort(F.collect_list(F.when(~F.col("stays"), F.struct("bytes", "virtual_slot"))))).alias("pool"),
