@@ -81,7 +81,7 @@ class TreeEncoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
         self.windows: dict[bytes, tuple[int, ...]] = {}
-        self.units = _Units(self, room)
+        self.units = _Units(self, 2 * room)
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """The merges themselves, on the bytes of a window: the lowest rank first, the leftmost among equals."""
