@@ -10,9 +10,6 @@ from ..functions import text as X
 from ..operators import gold
 from .base import query, rounded, table
 
-#: Words of a shingle that a quote and its document share.
-SHINGLE = 8
-
 
 @query("token_windows", """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
 s AS (SELECT doc_id, w, unnest(range(CASE WHEN n <= 64 THEN 1 ELSE ceil((n - 64) / 32.0)::BIGINT + 1 END)) AS i FROM n) SELECT doc_id, i::INT AS window_no, array_to_string(list_slice(w, i * 32 + 1, i * 32 + 64), ' ') AS window_text FROM s""")
@@ -29,35 +26,41 @@ def prose_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.select("doc_id", "window_no", F.md5("w").alias("window_md5"))
 
 
-def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a benchmark text and a document that holds the shingle behind its first word.
-
-    A text of nine words or more that a document contains shares that shingle, whatever stands around it.
-    """
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")), " ")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.xxhash64(F.array_join(F.slice(words("text"), 2, SHINGLE), " ")).alias("h")).where(F.size(words("quote")) > SHINGLE + 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shingles = docs.select("doc_id", words("text").alias("w")).where(F.size("w") >= SHINGLE)
-    shingles = shingles.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, SHINGLE), " ")))).alias("h"))
-    pairs = shingles.join(quotes.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return pairs.join(quotes.select("item_id", "quote"), "item_id").join(docs, "doc_id")
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the benchmark's texts as quotes."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
 
 
 @query("quote_containment", "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quoted(spark, sf_dir).where(F.contains("text", "quote")).select("doc_id", "item_id")
+    pairs = grounding.paired(*_quotes(spark, sf_dir), [str])
+    return pairs.where(F.contains("text", "quote")).select("doc_id", "item_id")
 
 
 @query("quote_grounding")
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _quoted(spark, sf_dir).withColumn("m", grounding.quote_coverage(F.col("quote"), F.col("text")))
+    """Every pair with a run as long as F11 asks for; all other pairs are not grounded."""
+    docs, quotes = _quotes(spark, sf_dir)
+    pairs = grounding.paired(docs, quotes, [grounding.fold_marks]).withColumn("m", grounding.quote_coverage(F.col("quote"), F.col("text")))
+    pairs = pairs.where("m.length > 0")
     return pairs.select("doc_id", "item_id", rounded("m.coverage").alias("coverage"), "m.longest", grounding.grounded(F.col("m")).alias("grounded"))
 
 
 @query("gate_cost_tally")
 def gate_cost_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _quoted(spark, sf_dir).select((F.col("doc_id") % 3).cast("string").alias("model"), F.col("quote").alias("evidence_quote"), F.col("text").alias("passage"))
-    return grounding.gate_cost(grounding.classify_cells(pairs), ["model"])
+    """Over every pair of a document and a quote; pairs without a common run pass neither gate and are only counted."""
+    docs, quotes = _quotes(spark, sf_dir)
+    model = (F.col("doc_id") % 3).cast("string").alias("model")
+    near = grounding.paired(docs, quotes, [grounding.fold_marks, grounding.fold_spaces])
+    near = near.select(model, F.col("quote").alias("evidence_quote"), F.col("text").alias("passage"))
+    near = grounding.classify_cells(near).groupBy("model", "strict", "fuzzy", "newly_passes").agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda strict, fuzzy, newly, n: F.struct(strict.alias("strict"), fuzzy.alias("fuzzy"), newly.alias("newly_passes"), n.alias("n"), F.lit("").alias("passage"))
+    no = [F.lit(False)] * 3
+    # what is near counts with its verdicts, and is taken from the cells that have none
+    near = near.select("model", F.inline(F.array(cell(F.col("strict"), F.col("fuzzy"), F.col("newly_passes"), F.col("n")), cell(*no, -F.col("n")))))
+    every = docs.groupBy(model, F.when(F.col("text").isNotNull(), "").alias("passage")).agg((F.count(F.lit(1)) * quotes.count()).alias("n"))
+    rest = every.select("model", *[x.alias(c) for x, c in zip(no, ("strict", "fuzzy", "newly_passes"), strict=True)], "n", "passage")
+    return grounding.gate_cost(near.unionByName(rest), ["model"], "n")
 
 
 @query("abstracts", "SELECT doc_id, left(trim(text, ' ' || chr(10) || chr(9) || chr(13)), 4000) AS abstract FROM documents")

@@ -225,6 +225,46 @@ def test_gates(spark):
     assert tally == {"m": (3, 1, 1), None: (3, 1, 1)}
 
 
+def test_blocks_are_those_of_difflib():
+    rng = np.random.default_rng(3)
+    for n in range(400):
+        q, p = ("".join(rng.choice(list("abcde"[: 2 + n % 4]), size=int(rng.integers(0, k)))) for k in (30, 80))
+        want = difflib.SequenceMatcher(None, q, p, autojunk=False).get_matching_blocks()
+        assert sorted(grounding.block_sizes(q, p)) == sorted(b.size for b in want if b.size)
+
+
+def test_quote_queries_by_brute_force(spark, tmp_path):
+    from corpusmill.plans import registry
+
+    long = "the genetic code maps every codon to one amino acid and uses adaptors for it"
+    quotes = [long, "a code", "Short-ish quote", "", None, "-", "one two three four five six", "nothing of this is anywhere in them"]
+    near = long.replace("every codon", "each codon").replace("amino", "Amino")
+    texts = [None, "", "x " + long.upper() + " y", near, long[:30] + " zz " + long[34:], "here: a code.", "A  CODE", "short-\nish “quote” and Shortish quote", "one two three four five six", "a - b", "the genetic code maps nothing else at all", long]
+    docs = [(i if i else None, t) for i, t in enumerate(texts)] + [(3, texts[2])]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs, tally, held = [], {}, []
+    for d, t in docs:
+        for i, q in enumerate(quotes):
+            length = len(grounding.fold_marks(q or ""))
+            share, longest = grounding.coverage(q, t)
+            can = length > 0 and longest >= min(15, length)
+            if can:
+                pairs.append((d, i, round(share, 5), longest, share >= 0.85))
+            strict = bool(t is not None and q and grounding.fold_spaces(q) and grounding.fold_spaces(q) in grounding.fold_spaces(t))
+            fuzzy = can and share >= 0.85
+            if t is not None and q is not None and q in t:
+                held.append((d, i))
+            for model in (None if d is None else str(d % 3), "all"):
+                tally.setdefault(model, np.zeros(5, int))
+                tally[model] += [1, strict, fuzzy, fuzzy and not strict, t is None]
+    run = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(run("quote_grounding")) == order(pairs)
+    assert order(run("quote_containment")) == order(held)
+    assert order(run("gate_cost_tally")) == order([(None if m in (None, "all") else m, *map(int, n)) for m, n in tally.items()])
+
+
 def test_parse_verdicts(spark):
     good = json.dumps({"a": {"verdict": "MET", "confidence": 0.5, "evidence_quote": "q"}, "b": {"verdict": "unclear"}})
     rows = [(1, good), (2, f"so:\n```json\n{good}\n```\nbye"), (3, "no object"), (4, '{"a": {"verdict": "maybe"}}'), (5, "{broken")]
