@@ -2,7 +2,8 @@
 
 A text of one kind compresses better with a dictionary of its kind. The difference of the two sizes over their sum is
 the evidence; a logistic curve, fitted on labelled texts that no dictionary has seen, makes it a score from 0 to 1.
-Long texts are compressed in blocks, so that what a text holds of itself does not drown what the dictionaries know.
+Long texts are compressed in blocks, so that what a text holds of itself does not drown what the dictionaries know;
+a short end is compressed with the block before it, so every byte counts.
 """
 
 from __future__ import annotations
@@ -47,10 +48,10 @@ class Scorer:
         if not data.strip():
             return [0.0, 0.0, 0.0, 0.0, 0.0]
         good, bad, raw = [], [], []
-        for at in range(0, len(data), BLOCK):
-            block = data[at : at + BLOCK]
-            if at and len(block) < BLOCK // 4:
-                continue
+        # a last block of under a quarter is part of the one before it
+        starts = range(0, max(1, len(data) - BLOCK // 4 + 1), BLOCK)
+        for at in starts:
+            block = data[at : at + BLOCK] if at != starts[-1] else data[at:]
             good.append(len(self.good.compress(block)))
             bad.append(len(self.bad.compress(block)))
             raw.append(len(block))

@@ -98,6 +98,14 @@ def test_classifiers_with_odd_rows(spark, docs, none, module):
     assert module.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_quality_evidence_of_every_byte():
+    b = quality_classifier.BLOCK
+    scorer = quality_classifier.Scorer(quality_classifier.fit(["good words"] * 4, ["bad words"] * 4))
+    data = bytes(np.random.default_rng(1).integers(33, 127, 3 * b, dtype=np.uint8))
+    for n in (1, b // 4 - 1, b - 1, b, b + 1, b + b // 4 - 1, b + b // 4, 2 * b, 2 * b + 1, 2 * b + b // 4, 3 * b - 1):
+        assert scorer.evidence(data[:n].decode())[4] == pytest.approx(np.log1p(n), abs=1e-12)
+
+
 def test_toxicity_learns_words_and_misspellings():
     rnd = random.Random(3)
     filler = lambda: [rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(60)]
