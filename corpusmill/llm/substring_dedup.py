@@ -108,36 +108,36 @@ def _batches(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """``(did, h)`` for each anchor of each row of ``docs(did, text)``."""
+    """``(did, tie, h)`` for each anchor of each row of ``docs(did, tie, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _batches(batch.column(1)):
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for first, texts in _batches(batch.column(2)):
                 of, _, h, _, _ = anchors(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + of]), pa.array(h)], ["did", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + of]), pa.array(ties[first + of]), pa.array(h)], ["did", "tie", "h"])
 
-    return docs.mapInArrow(run, "did long, h long")
+    return docs.mapInArrow(run, "did long, tie long, h long")
 
 
-CONTEXT = "did long, place int, h long, lo int, hi int, hot boolean, before binary, after binary"
+CONTEXT = "did long, tie long, place int, h long, lo int, hi int, hot boolean, before binary, after binary"
 
 
 def contexts(marked: DataFrame) -> DataFrame:
-    """Suffixes that may repeat, from ``marked(did, text, shared, hot)``: arrays of the document's shared anchors."""
+    """Suffixes that may repeat, from ``marked(did, tie, text, shared, hot)``: arrays of the document's shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, texts in _batches(batch.column(1)):
+            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for first, texts in _batches(batch.column(2)):
                 of, place, h, lo, hi = anchors(texts)
                 edges = np.searchsorted(of, np.arange(len(texts) + 1))
-                rows: list[list] = [[] for _ in range(8)]
+                rows: list[list] = [[] for _ in range(9)]
                 for i, data in enumerate(texts):
                     a, b = edges[i], edges[i + 1]
                     if a == b:
                         continue
-                    shared, hot = (batch.column(c)[first + i].values for c in (2, 3))
+                    shared, hot = (batch.column(c)[first + i].values for c in (3, 4))
                     own, inverse, count = np.unique(h[a:b], return_inverse=True, return_counts=True)
                     is_hot = np.isin(own, hot.to_numpy(zero_copy_only=False)) if hot is not None and len(hot) else np.zeros(len(own), bool)
                     good = (count > 1) | is_hot
@@ -149,15 +149,16 @@ def contexts(marked: DataFrame) -> DataFrame:
                     words = data.split()
                     places = place[a:b][chosen].tolist()
                     rows[0] += [int(ids[first + i])] * len(places)
-                    rows[1] += places
-                    for k, column in ((2, h), (3, lo), (4, hi)):
+                    rows[1] += [int(ties[first + i])] * len(places)
+                    rows[2] += places
+                    for k, column in ((3, h), (4, lo), (5, hi)):
                         rows[k] += column[a:b][chosen].tolist()
-                    rows[5] += is_hot[inverse][chosen].tolist()
-                    rows[6] += [b" ".join(words[max(0, p - PLACES + 1) : p]) for p in places]
-                    rows[7] += [b" ".join(words[p : p + WINDOW]) for p in places]
+                    rows[6] += is_hot[inverse][chosen].tolist()
+                    rows[7] += [b" ".join(words[max(0, p - PLACES + 1) : p]) for p in places]
+                    rows[8] += [b" ".join(words[p : p + WINDOW]) for p in places]
                 if rows[0]:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["did", "place", "h", "lo", "hi", "hot", "before", "after"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["did", "tie", "place", "h", "lo", "hi", "hot", "before", "after"])
 
     return marked.mapInArrow(run, CONTEXT)
 
@@ -208,18 +209,21 @@ def repeats(h: np.ndarray, did: np.ndarray, place: np.ndarray, lo: np.ndarray, h
 
 
 def tree_marks(suffixes: DataFrame) -> DataFrame:
-    """``(did, place, mask)`` of the repeats in each group of ``suffixes``; groups are read one after another."""
+    """``(did, tie, place, mask)`` of the repeats in each group of ``suffixes``; groups are read one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, did, place, lo, hi = (t.column(c).to_numpy() for c in ("h", "did", "place", "lo", "hi"))
+            h, did, tie, place, lo, hi = (t.column(c).to_numpy() for c in ("h", "did", "tie", "place", "lo", "hi"))
             grouped = np.flatnonzero(np.r_[h[1:] == h[:-1], False] | np.r_[False, h[1:] == h[:-1]])
             if len(grouped):
                 t = t.take(pa.array(grouped))
-                h, did, place, lo, hi = (a[grouped] for a in (h, did, place, lo, hi))
-                mask = repeats(h, did, place, lo, hi, t.column("before").to_pylist(), t.column("after").to_pylist())
+                h, did, tie, place, lo, hi = (a[grouped] for a in (h, did, tie, place, lo, hi))
+                order = np.lexsort((tie, did))
+                document = np.zeros(len(did), np.int64)
+                document[order] = np.cumsum(np.r_[False, (did[order][1:] != did[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
+                mask = repeats(h, document, place, lo, hi, t.column("before").to_pylist(), t.column("after").to_pylist())
                 hit = np.flatnonzero(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(place[hit].astype(np.int32)), pa.array(mask[hit])], ["did", "place", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(tie[hit]), pa.array(place[hit].astype(np.int32)), pa.array(mask[hit])], ["did", "tie", "place", "mask"])
 
         held, n = [], 0
         for batch in batches:
@@ -235,44 +239,45 @@ def tree_marks(suffixes: DataFrame) -> DataFrame:
         if n:
             yield from solved(pa.Table.from_batches(held))
 
-    dealt = suffixes.select("h", "did", "place", "lo", "hi", "before", "after").repartition(partitions(suffixes.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "did long, place int, mask int")
+    dealt = suffixes.select("h", "did", "tie", "place", "lo", "hi", "before", "after").repartition(partitions(suffixes.sparkSession), "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "did long, tie long, place int, mask int")
 
 
 def window_marks(suffixes: DataFrame) -> DataFrame:
     """The same for prefixes that are lengthened to the whole window: the first occurrence of each by an aggregate."""
     words = lambda c: F.filter(F.split(F.col(c).cast("string"), " "), lambda x: x != "")
-    rows = suffixes.select("did", "place", F.explode(F.sequence("lo", "hi")).alias("o"), words("before").alias("l"), words("after").alias("r"))
+    rows = suffixes.select("did", "tie", "place", F.explode(F.sequence("lo", "hi")).alias("o"), words("before").alias("l"), words("after").alias("r"))
     window = F.array_join(F.concat(F.slice("l", F.size("l") - F.col("o") + 1, F.col("o")), F.slice("r", F.lit(1), WINDOW - F.col("o"))), " ")
-    rows = rows.select("did", "place", "o", F.md5(window).alias("w"))
-    at = F.struct("did", (F.col("place") - F.col("o")).alias("start"))
+    rows = rows.select("did", "tie", "place", "o", F.md5(window).alias("w"))
+    at = F.struct("did", "tie", (F.col("place") - F.col("o")).alias("start"))
     first = rows.groupBy("w").agg(F.min(at).alias("first"))
     again = rows.join(first, "w").where(at > F.col("first"))
-    return again.select("did", "place", F.expr("shiftleft(1, o)").alias("mask"))
+    return again.select("did", "tie", "place", F.expr("shiftleft(1, o)").alias("mask"))
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(did, places, masks)`` of repeated windows and the ids of texts that are whole copies, from ``docs(did, text)``."""
-    hashed = staged(docs.select("did", F.md5("text").alias("m")), "texts")
+    """``(did, tie, places, masks)`` of repeated windows and ``(did, tie)`` of texts that are whole copies, from ``docs(did, tie, text)``."""
+    hashed = staged(docs.select("did", "tie", F.md5("text").alias("m")), "texts")
     first = hashed.groupBy("m").agg(F.min("did").alias("first"))
-    copies = hashed.join(first, "m").where(F.col("did") > F.col("first")).select("did").distinct().withColumn("copy", F.lit(True))
+    copies = hashed.join(first, "m").where(F.col("did") > F.col("first")).select("did", "tie").distinct().withColumn("copy", F.lit(True))
     copies = staged(copies, "copies")
     found = staged(anchor_table(docs), "anchors")
-    shared = found.groupBy("h").agg(F.min("did").alias("a"), F.max("did").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("did", "tie") for f, n in ((F.min, "min"), (F.max, "max"))]
+    shared = found.groupBy("h").agg(*ends, F.count(F.lit(1)).alias("n")).where("min_did < max_did or min_tie < max_tie")
     shared = staged(shared.select("h", (F.col("n") > GROUP).alias("hot")), "shared")
     any_hot = not shared.where("hot").isEmpty()
-    per_doc = found.join(shared, "h").groupBy("did").agg(
+    per_doc = found.join(shared, "h").groupBy("did", "tie").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")
     )
     per_doc = staged(per_doc, "by-document")
-    marked = docs.join(per_doc, "did", "left").join(copies, "did", "left_anti").select("did", "text", "shared", "hot")
+    marked = docs.join(per_doc, ["did", "tie"], "left").join(copies, ["did", "tie"], "left_anti").select("did", "tie", "text", "shared", "hot")
     suffixes = contexts(marked)
     if any_hot:
         suffixes = staged(suffixes, "suffixes")
         found_marks = tree_marks(suffixes.where("not hot")).unionByName(window_marks(suffixes.where("hot")))
     else:
         found_marks = tree_marks(suffixes)
-    by_doc = found_marks.groupBy("did").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
+    by_doc = found_marks.groupBy("did", "tie").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
     return by_doc, copies
 
 
@@ -298,13 +303,15 @@ def deduplicate(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """``(did, [rest], n_words, n_removed, kept_sha256[, kept_text])`` for each row of ``docs(doc_id, text, ...)``.
 
     A text that equals an earlier document's whole text is removed whole if it has a window at all. A null text has
-    no words. Rows that share an id are one document: windows at the same place are one occurrence. Rows without an
-    id count as one document after all others. Texts shorter than a window stay. An empty table gives an empty result.
+    no words. Rows that share an id and a text are one document: windows at the same place are one occurrence, and such
+    rows stay together, without an id too. Different texts of one id are documents of their own, in the order of a hash
+    of the text; rows without an id come after all others. Texts shorter than a window stay. An empty table gives an empty result.
     ``rest`` names columns to carry along; the kept text then comes with them (null where nothing was removed).
     """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
-    by_doc, copies = marks(source.select("did", "text"))
-    full = source.join(by_doc, "did", "left").join(copies, "did", "left")
+    source = source.withColumn("tie", F.xxhash64("text"))
+    by_doc, copies = marks(source.select("did", "tie", "text"))
+    full = source.join(by_doc, ["did", "tie"], "left").join(copies, ["did", "tie"], "left")
     full = full.select("did", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "masks", *(["rest"] if rest else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -340,6 +340,19 @@ def test_repeated_passages(spark, monkeypatch, group):
     assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(df).collect()} == brute_removal(rows)
 
 
+@pytest.mark.parametrize("group", [20_000, 1])
+def test_repeated_passages_without_own_ids(spark, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    one, passage = say("one", 40), say("p", 25)
+    rows = [(1, one), (None, one), (None, say("own", 30)), (None, say("c", 5) + " " + passage), (None, passage + " " + say("d", 7)), (7, one), (7, say("seven", 33))]
+    got = collections.defaultdict(list)
+    for r in substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id, r.n_words].append(r.n_removed)
+    assert sorted(got.pop((None, 30)) + got.pop((None, 32))) == [0, 0, 25]
+    assert got == {(1, 40): [0], (None, 40): [40], (7, 40): [40], (7, 33): [0]}
+
+
 def test_repeated_passages_of_odd_texts(docs, none):
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digest(docs).collect()}
     want = brute_removal(list(enumerate(odd_texts())))
