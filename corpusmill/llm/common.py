@@ -18,9 +18,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a session on one machine (``local[..]``) gets a folder of our own; on a cluster that is an error,
+    since executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "/tmp/checkpoints/corpusmill"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,16 +41,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there when the driver ends is removed."""
+    path = f"{shared_root(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     This cuts the lineage with a copy that survives the loss of executors, and keeps a costly input from
     being computed once per use. The files are removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,24 +68,30 @@ def partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u long, v long)``; the component is its smallest node.
 
-    Each round hooks every node to its smallest neighbour (an aggregate with map-side combine, so a hub costs
-    no more than its partial rows) and contracts the graph, which shrinks at least by half for each component
-    that is not yet a point. Rounds are written to shared storage. Nulls and loops are ignored; an empty input
-    gives an empty result.
+    Alternating stars: a node first hands its larger neighbours to the least node that it knows, itself included, then
+    every node hands its smaller neighbours to the least of them. Edges are never more than before, distances shrink
+    by a factor in each round (a path of 10 000 nodes takes 15), and what no round changes is one star a component,
+    around its smallest node. Least neighbours are aggregates with map-side combine, so a hub costs no more than its
+    partial rows. Rounds are written to shared storage, and the one before is removed. Nulls and loops are ignored; an
+    empty input gives an empty result.
     """
-    edges = staged(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("parent")), "parents")
-        rounds.append(parent)
-        left = edges.join(parent, edges.u == parent.node).select(F.col("parent").alias("a"), "v")
-        right = left.join(parent, left.v == parent.node).select("a", F.col("parent").alias("b"))
-        edges = staged(right.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-    if not rounds:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    labels = rounds[-1].select("node", F.col("parent").alias("component"))
-    for parent in reversed(rounds[:-1]):
-        below = labels.select(F.col("node").alias("parent"), "component")
-        labels = parent.join(below, "parent", "left").select("node", F.coalesce("component", "parent").alias("component"))
-    return labels
+    spark = edges.sparkSession
+    least, greatest = F.least("u", "v"), F.greatest("u", "v")
+    state = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("a").cast("decimal(38,0)") - F.col("b")).alias("s"))
+    path = shared_path(spark, "edges")
+    now = staged(edges.where("u <> v").select(greatest.alias("a"), least.alias("b")).distinct(), "edges", path)
+    seen = now.select(state).first()[0]
+    while seen["n"]:
+        nearest = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"))
+        nearest = nearest.select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        large = now.join(nearest, now.b == nearest.node).select("a", F.col("m").alias("b"))
+        lowest = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        small = large.join(lowest, large.a == lowest.node).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        next_path = shared_path(spark, "edges")
+        now = staged(small.unionByName(lowest.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), "edges", next_path)
+        _remove(spark, path)
+        path, before = next_path, seen
+        seen = now.select(state).first()[0]
+        if seen == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

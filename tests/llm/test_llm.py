@@ -484,6 +484,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_long_path(spark, monkeypatch):
+    from corpusmill.llm import common
+
+    rounds = []
+    monkeypatch.setattr(common, "staged", lambda df, name, path=None, staged=common.staged: rounds.append(name) or staged(df, name, path))
+    edges = spark.range(10_000).selectExpr("id as u", "id + 1 as v")
+    assert [tuple(r) for r in connected_components(edges).groupBy("component").count().collect()] == [(0, 10_001)]
+    assert len(rounds) <= 20
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusmill.llm.common import shared_root
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(session)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
