@@ -3,13 +3,17 @@
 A passage counts as repeated from 20 words on. Of the suffixes of all texts only those are kept that can matter:
 every window of 20 words has one anchor, the lowest hashed run of 6 words in it (the leftmost among equals), and equal
 windows have equal anchors at equal places. Suffixes at anchors that occur once in the corpus are dropped. The others
-are split by their prefix, the anchor's words, into groups that fit into memory; prefixes that would gather more are
-lengthened to the whole window, where only the first occurrence has to be known and an aggregate with map-side combine
-finds it. In a group the suffixes are sorted, and the common prefixes of neighbours give the suffix tree: its nodes
-at depth d are the runs of neighbours that share d words. A window that begins o words before the anchor is repeated
-where suffixes meet in a node of depth 20 - o and their texts before the anchor meet in a node of depth o of the tree
-over the reversed left contexts; nodes that deep are the repeats, and all their occurrences but the first are marked.
-Words are compared themselves; hashes only choose anchors and partitions.
+are split by their prefix into groups that fit into memory. The prefix is the anchor's 6 words; where more than GROUP
+suffixes share it, each window gives a suffix of its own, which begins where the window does and has all its 20 words
+as its prefix. Suffixes that agree in so long a prefix are one node, so a task ships the first one only and marks its
+others at once: however often a passage occurs, its group has at most one suffix a task.
+
+In a group the suffixes are sorted, and the common prefixes of neighbours give the suffix tree: its nodes at depth d are
+the runs of neighbours that share d words. A window that begins o words before the anchor is repeated where suffixes meet
+in a node of depth 20 - o and their texts before the anchor meet in a node of depth o of the tree over the reversed left
+contexts; nodes that deep are the maximal repeats' beginnings, and all their occurrences but the first are marked. Words
+are compared themselves; hashes choose anchors, partitions and, by SHA-256, documents that are equal as a whole: of those
+one goes through the trees, and the others are removed whole.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, staged
@@ -27,8 +31,10 @@ from .common import partitions, staged
 WINDOW, ANCHOR = 20, 6
 #: Places in a window at which its anchor can begin.
 PLACES = WINDOW - ANCHOR + 1
-#: Documents that may share a prefix before it is lengthened.
+#: Suffixes that may share a prefix of an anchor's words before it is lengthened to the whole window.
 GROUP = 20_000
+#: Lengthened suffixes that a task holds to combine equal ones before they are shipped.
+HELD = 50_000
 #: Suffixes that a task has in memory at once (whole groups, so up to GROUP times a document's repeats more).
 CHUNK = 25_000
 NO_ID = (1 << 63) - 1
@@ -108,59 +114,90 @@ def _batches(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """``(did, tie, h)`` for each anchor of each row of ``docs(did, tie, text)``."""
+    """``(did, tie, anchors)`` for each row of ``docs(did, tie, text)`` with a window: hashes of its anchors and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for first, texts in _batches(batch.column(2)):
                 of, _, h, _, _ = anchors(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + of]), pa.array(ties[first + of]), pa.array(h)], ["did", "tie", "h"])
+                if not len(of):
+                    continue
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
+                count = np.diff(np.r_[new, len(of)]).astype(np.int32)
+                docs_at = np.flatnonzero(np.r_[True, of[new][1:] != of[new][:-1]])
+                pairs = pa.StructArray.from_arrays([pa.array(h[new]), pa.array(count)], ["h", "c"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[docs_at, len(new)].astype(np.int32)), pairs)
+                rows = pa.array(first + of[new][docs_at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists], ["did", "tie", "anchors"])
 
-    return docs.mapInArrow(run, "did long, tie long, h long")
+    return docs.mapInArrow(run, "did long, tie long, anchors array<struct<h:long,c:int>>")
 
 
-CONTEXT = "did long, tie long, place int, h long, lo int, hi int, hot boolean, before binary, after binary"
+SUFFIX = "h long, did long, tie long, place int, lo int, hi int, mask int, before binary, after binary"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+_NAMES = [c.split()[0] for c in SUFFIX.split(", ")]
 
 
-def contexts(marked: DataFrame) -> DataFrame:
-    """Suffixes that may repeat, from ``marked(did, tie, text, shared, hot)``: arrays of the document's shared anchors."""
+def suffixes(marked: DataFrame) -> DataFrame:
+    """Suffixes that may repeat, from ``marked(did, tie, text, shared, hot, ...)``: the document's repeated anchors by the
+    length that their prefix has. A row with a mask is no suffix but a mark: its window has been met in this task before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        #: The least (did, tie, start) met of each lengthened prefix.
+        held: dict[bytes, tuple[int, int, int]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+                rows.clear()
+
+        def release() -> None:
+            for window, (did, tie, start) in held.items():
+                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), did, tie, start, 0, 0, 0, b"", window))
+            held.clear()
+
+        def lengthened(did: int, tie: int, start: int, window: bytes) -> None:
+            at, before = (did, tie, start), held.get(window)
+            if before is None:
+                held[window] = at
+                return
+            if at[:2] == before[:2] and start == before[2]:
+                return
+            held[window], again = (before, at) if before < at else (at, before)
+            rows.append(((again[0] ^ again[2]) * 0x9E3779B97F4A7C15 % (1 << 63), *again, 0, 0, 1, None, None))
+
         for batch in batches:
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for first, texts in _batches(batch.column(2)):
                 of, place, h, lo, hi = anchors(texts)
                 edges = np.searchsorted(of, np.arange(len(texts) + 1))
-                rows: list[list] = [[] for _ in range(9)]
                 for i, data in enumerate(texts):
                     a, b = edges[i], edges[i + 1]
                     if a == b:
                         continue
+                    did, tie = int(ids[first + i]), int(ties[first + i])
                     shared, hot = (batch.column(c)[first + i].values for c in (3, 4))
-                    own, inverse, count = np.unique(h[a:b], return_inverse=True, return_counts=True)
-                    is_hot = np.isin(own, hot.to_numpy(zero_copy_only=False)) if hot is not None and len(hot) else np.zeros(len(own), bool)
-                    good = (count > 1) | is_hot
-                    if shared is not None and len(shared):
-                        good |= np.isin(own, shared.to_numpy(zero_copy_only=False))
-                    chosen = np.flatnonzero(good[inverse])
-                    if not len(chosen):
-                        continue
                     words = data.split()
-                    places = place[a:b][chosen].tolist()
-                    rows[0] += [int(ids[first + i])] * len(places)
-                    rows[1] += [int(ties[first + i])] * len(places)
-                    rows[2] += places
-                    for k, column in ((3, h), (4, lo), (5, hi)):
-                        rows[k] += column[a:b][chosen].tolist()
-                    rows[6] += is_hot[inverse][chosen].tolist()
-                    rows[7] += [b" ".join(words[max(0, p - PLACES + 1) : p]) for p in places]
-                    rows[8] += [b" ".join(words[p : p + WINDOW]) for p in places]
-                if rows[0]:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["did", "tie", "place", "h", "lo", "hi", "hot", "before", "after"])
-
-    return marked.mapInArrow(run, CONTEXT)
+                    if shared is not None and len(shared):
+                        for k in (a + np.flatnonzero(np.isin(h[a:b], shared.to_numpy(zero_copy_only=False)))).tolist():
+                            p = int(place[k])
+                            rows.append((int(h[k]), did, tie, p, int(lo[k]), int(hi[k]), 0, b" ".join(words[max(0, p - PLACES + 1) : p]), b" ".join(words[p : p + WINDOW])))
+                    if hot is not None and len(hot):
+                        for k in (a + np.flatnonzero(np.isin(h[a:b], hot.to_numpy(zero_copy_only=False)))).tolist():
+                            for start in range(int(place[k] - hi[k]), int(place[k] - lo[k]) + 1):
+                                lengthened(did, tie, start, b" ".join(words[start : start + WINDOW]))
+                            if len(held) >= HELD:
+                                release()
+                    if len(rows) >= 4096:
+                        yield from flushed()
+        release()
+        yield from flushed()
+
+    return marked.mapInArrow(run, SUFFIX)
 
 
 def shared_prefixes(keys: np.ndarray, paths: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,25 +245,38 @@ def repeats(h: np.ndarray, did: np.ndarray, place: np.ndarray, lo: np.ndarray, h
     return mask
 
 
-def tree_marks(suffixes: DataFrame) -> DataFrame:
-    """``(did, tie, place, mask)`` of the repeats in each group of ``suffixes``; groups are read one after another."""
+def tree_marks(rows: DataFrame) -> DataFrame:
+    """``(did, tie, place, mask)`` of the repeats in each group of suffixes, and the marks that are among ``rows``.
+
+    Groups are read one after another; a task holds CHUNK suffixes and the rest of a group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["did", "tie", "place", "mask"]
+
         def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, did, tie, place, lo, hi = (t.column(c).to_numpy() for c in ("h", "did", "tie", "place", "lo", "hi"))
+            h = t.column("h").to_numpy()
             grouped = np.flatnonzero(np.r_[h[1:] == h[:-1], False] | np.r_[False, h[1:] == h[:-1]])
-            if len(grouped):
-                t = t.take(pa.array(grouped))
-                h, did, tie, place, lo, hi = (a[grouped] for a in (h, did, tie, place, lo, hi))
-                order = np.lexsort((tie, did))
-                document = np.zeros(len(did), np.int64)
-                document[order] = np.cumsum(np.r_[False, (did[order][1:] != did[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
-                mask = repeats(h, document, place, lo, hi, t.column("before").to_pylist(), t.column("after").to_pylist())
-                hit = np.flatnonzero(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(tie[hit]), pa.array(place[hit].astype(np.int32)), pa.array(mask[hit])], ["did", "tie", "place", "mask"])
+            if not len(grouped):
+                return
+            t = t.take(pa.array(grouped))
+            h, did, tie, place, lo, hi = (t.column(c).to_numpy() for c in ("h", "did", "tie", "place", "lo", "hi"))
+            order = np.lexsort((tie, did))
+            document = np.zeros(len(did), np.int64)
+            document[order] = np.cumsum(np.r_[False, (did[order][1:] != did[order][:-1]) | (tie[order][1:] != tie[order][:-1])])
+            mask = repeats(h, document, place, lo, hi, t.column("before").to_pylist(), t.column("after").to_pylist())
+            hit = np.flatnonzero(mask)
+            yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(tie[hit]), pa.array(place[hit].astype(np.int32)), pa.array(mask[hit])], names)
 
         held, n = [], 0
         for batch in batches:
+            masks = batch.column(6).to_numpy()
+            if masks.any():
+                at = pa.array(np.flatnonzero(masks))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in (1, 2, 3, 6)], names)
+                batch = batch.take(pa.array(np.flatnonzero(masks == 0)))
+            if not batch.num_rows:
+                continue
             held.append(batch)
             n += batch.num_rows
             if n >= CHUNK:
@@ -239,46 +289,26 @@ def tree_marks(suffixes: DataFrame) -> DataFrame:
         if n:
             yield from solved(pa.Table.from_batches(held))
 
-    dealt = suffixes.select("h", "did", "tie", "place", "lo", "hi", "before", "after").repartition(partitions(suffixes.sparkSession), "h").sortWithinPartitions("h")
+    dealt = rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(run, "did long, tie long, place int, mask int")
 
 
-def window_marks(suffixes: DataFrame) -> DataFrame:
-    """The same for prefixes that are lengthened to the whole window: the first occurrence of each by an aggregate."""
-    words = lambda c: F.filter(F.split(F.col(c).cast("string"), " "), lambda x: x != "")
-    rows = suffixes.select("did", "tie", "place", F.explode(F.sequence("lo", "hi")).alias("o"), words("before").alias("l"), words("after").alias("r"))
-    window = F.array_join(F.concat(F.slice("l", F.size("l") - F.col("o") + 1, F.col("o")), F.slice("r", F.lit(1), WINDOW - F.col("o"))), " ")
-    rows = rows.select("did", "tie", "place", "o", F.md5(window).alias("w"))
-    at = F.struct("did", "tie", (F.col("place") - F.col("o")).alias("start"))
-    first = rows.groupBy("w").agg(F.min(at).alias("first"))
-    again = rows.join(first, "w").where(at > F.col("first"))
-    return again.select("did", "tie", "place", F.expr("shiftleft(1, o)").alias("mask"))
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """``(did, tie)`` of the documents whose text is that of an earlier one, from ``docs(did, tie, text)``."""
+    hashed = staged(docs.select("did", "tie", F.sha2("text", 256).alias("m")), "texts")
+    first = hashed.groupBy("m").agg(F.min("did").alias("first"))
+    return staged(hashed.join(first, "m").where(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
 
 
-def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(did, tie, places, masks)`` of repeated windows and ``(did, tie)`` of texts that are whole copies, from ``docs(did, tie, text)``."""
-    hashed = staged(docs.select("did", "tie", F.md5("text").alias("m")), "texts")
-    first = hashed.groupBy("m").agg(F.min("did").alias("first"))
-    copies = hashed.join(first, "m").where(F.col("did") > F.col("first")).select("did", "tie").distinct().withColumn("copy", F.lit(True))
-    copies = staged(copies, "copies")
+def repeated_anchors(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(did, tie, shared, hot)``: anchors of each document that occur again, and those of them whose prefix is lengthened."""
     found = staged(anchor_table(docs), "anchors")
-    ends = [f(c).alias(f"{n}_{c}") for c in ("did", "tie") for f, n in ((F.min, "min"), (F.max, "max"))]
-    shared = found.groupBy("h").agg(*ends, F.count(F.lit(1)).alias("n")).where("min_did < max_did or min_tie < max_tie")
-    shared = staged(shared.select("h", (F.col("n") > GROUP).alias("hot")), "shared")
-    any_hot = not shared.where("hot").isEmpty()
-    per_doc = found.join(shared, "h").groupBy("did", "tie").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot")
-    )
-    per_doc = staged(per_doc, "by-document")
-    marked = docs.join(per_doc, ["did", "tie"], "left").join(copies, ["did", "tie"], "left_anti").select("did", "tie", "text", "shared", "hot")
-    suffixes = contexts(marked)
-    if any_hot:
-        suffixes = staged(suffixes, "suffixes")
-        found_marks = tree_marks(suffixes.where("not hot")).unionByName(window_marks(suffixes.where("hot")))
-    else:
-        found_marks = tree_marks(suffixes)
-    by_doc = found_marks.groupBy("did", "tie").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
-    return by_doc, copies
+    each = found.join(copies, ["did", "tie"], "left_anti").select("did", "tie", F.explode("anchors").alias("x")).select("did", "tie", "x.h", "x.c")
+    # rows that share an id and a text count twice here, which costs work and changes nothing
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).where("n > 1 or c > 1")
+    counts = staged(counts.select("h", (F.col("c") > GROUP).alias("hot")), "shared")
+    own = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("h")))
+    return staged(each.join(counts, "h").groupBy("did", "tie").agg(own(False).alias("shared"), own(True).alias("hot")), "by-document")
 
 
 def kept_words(text: str | None, copy: bool, places: np.ndarray, masks: np.ndarray) -> tuple[int, list[bytes]]:
@@ -299,20 +329,27 @@ def kept_words(text: str | None, copy: bool, places: np.ndarray, masks: np.ndarr
     return n, [words[i] for i in keep.tolist()]
 
 
-def deduplicate(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
-    """``(did, [rest], n_words, n_removed, kept_sha256[, kept_text])`` for each row of ``docs(doc_id, text, ...)``.
+def deduplicate(docs: DataFrame, rest: Column | None = None) -> DataFrame:
+    """``(did, text, n_words, n_removed, kept_sha256[, rest, kept_text])`` for each row of ``docs(doc_id, text, ...)``.
 
     A text that equals an earlier document's whole text is removed whole if it has a window at all. A null text has
     no words. Rows that share an id and a text are one document: windows at the same place are one occurrence, and such
     rows stay together, without an id too. Different texts of one id are documents of their own, in the order of a hash
     of the text; rows without an id come after all others. Texts shorter than a window stay. An empty table gives an empty result.
-    ``rest`` names columns to carry along; the kept text then comes with them (null where nothing was removed).
+    ``rest`` is a struct to carry along; the kept text then comes with it (null where nothing was removed).
+
+    Texts are shuffled once, by document; both joins, with the anchors and with the marks, read that exchange.
     """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
-    source = source.withColumn("tie", F.xxhash64("text"))
-    by_doc, copies = marks(source.select("did", "tie", "text"))
-    full = source.join(by_doc, ["did", "tie"], "left").join(copies, ["did", "tie"], "left")
-    full = full.select("did", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "masks", *(["rest"] if rest else []))
+    more = [] if rest is None else ["rest"]
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([] if rest is None else [rest.alias("rest")]))
+    source = source.select("did", F.xxhash64("text").alias("tie"), "text", *more)
+    texts = source.select("did", "tie", "text")
+    copies = whole_copies(texts)
+    marked = source.join(repeated_anchors(texts, copies), ["did", "tie"]).select("did", "tie", "text", "shared", "hot", *more)
+    marks = tree_marks(suffixes(marked)).groupBy("did", "tie").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
+    known = marks.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    full = source.join(known, ["did", "tie"], "left")
+    full = full.select("did", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", "masks", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -325,11 +362,12 @@ def deduplicate(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
                 out[0].append(n)
                 out[1].append(n - len(kept))
                 out[2].append(hashlib.sha256(joined).hexdigest())
-                out[3].append(joined.decode("utf-8", "surrogatepass") if rest and n > len(kept) else None)
+                out[3].append(joined.decode("utf-8", "surrogatepass") if more and n > len(kept) else None)
             made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *([batch.column(5)] if rest else [])], ["did", "n_words", "n_removed", "kept_sha256", "kept_text", *(["rest"] if rest else [])])
+            made = [batch.column(0), *made, *([batch.column(1), batch.column(5)] if more else [])]
+            yield pa.RecordBatch.from_arrays(made, ["did", "n_words", "n_removed", "kept_sha256", "kept_text", *(["text", "rest"] if more else [])])
 
-    kind = f", rest {full.schema['rest'].dataType.simpleString()}" if rest else ""
+    kind = f", text string, rest {full.schema['rest'].dataType.simpleString()}" if more else ""
     return full.mapInArrow(run, "did long, n_words long, n_removed long, kept_sha256 string, kept_text string" + kind)
 
 
@@ -340,11 +378,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated words, with its columns; texts without repeats stay as they are, ``n_chars`` follows."""
-    names = docs.columns
-    out = deduplicate(docs, names)
-    text = F.coalesce(F.col("kept_text"), F.col("rest.text"))
-    columns = {n: F.col("rest").getField(n) for n in names} | {"text": text}
-    if "n_chars" in names:
-        columns["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars"))
-    return out.select(*[columns[n].alias(n) for n in names])
+    """``docs`` without repeated words, with its columns; texts without repeats stay as they are, ``n_chars`` follows.
+
+    A null text stays null. Other columns are carried along inside a struct, so no name can clash.
+    """
+    # the field called text says whether there is one
+    rest = F.struct(*[F.col("text").isNotNull().alias(n) if n == "text" else F.col(n) for n in docs.columns])
+    out, changed = deduplicate(docs, rest), F.col("kept_text").isNotNull()
+    columns = {n: F.col("rest").getField(n) for n in docs.columns}
+    columns["text"] = F.when(changed, F.col("kept_text")).when(F.col("rest.text"), F.col("text")).cast(docs.schema["text"].dataType)
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[columns[n].alias(n) for n in docs.columns])
