@@ -1,9 +1,10 @@
 """Compression classifier of quality: zstandard dictionaries of good and of bad text.
 
-A text of one kind compresses better with a dictionary of its kind. The difference of the two sizes over their sum is
-the evidence; a logistic curve, fitted on labelled texts that no dictionary has seen, makes it a score from 0 to 1.
-Long texts are compressed in blocks, so that what a text holds of itself does not drown what the dictionaries know;
-a short end is compressed with the block before it, so every byte counts.
+A text of one kind compresses better with a dictionary of its kind. A text is compressed in short blocks, so that what it
+holds of itself does not drown what the dictionaries know, and in each block the difference of the two sizes over their
+sum is the evidence. A logistic curve over the whole text's difference and the spread of its blocks' differences, fitted on
+labelled texts that no dictionary has seen, makes a score from 0 to 1 of them; nothing but these differences enters it.
+A short end is compressed with the block before it, so every byte counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: rows of either label, and characters of a row that may take part.
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
-DICTIONARY_BYTES, BLOCK, LEVEL = 262_144, 512, 6
+DICTIONARY_BYTES, BLOCK, LEVEL = 262_144, 128, 6
 
 
 @dataclass
@@ -32,6 +33,12 @@ class Model:
     scales: np.ndarray
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """All of the bytes in blocks; a last block of under a quarter is part of the one before it."""
+    starts = range(0, max(1, len(data) - BLOCK // 4 + 1), BLOCK)
+    return [data[at : at + BLOCK] if at != starts[-1] else data[at:] for at in starts]
+
+
 class Scorer:
     """A model with its compressors, which cannot be sent between processes and are made where they work."""
 
@@ -40,30 +47,19 @@ class Scorer:
 
         self.model = model
         make = lambda data: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=LEVEL, write_content_size=False, write_dict_id=False)
-        self.good, self.bad, self.plain = make(model.good), make(model.bad), zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+        self.good, self.bad = make(model.good), make(model.bad)
 
     def evidence(self, text: str | None) -> list[float]:
-        """Normalised size differences (of the whole and of the block that speaks most for bad), and the sizes themselves."""
+        """Normalised size differences: of the whole text, and of its blocks the greatest, the least, the mean of those for
+        bad, the mean of the two greatest, and the deviation. Zeros for a blank text."""
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data.strip():
-            return [0.0, 0.0, 0.0, 0.0, 0.0]
-        good, bad, raw = [], [], []
-        # a last block of under a quarter is part of the one before it
-        starts = range(0, max(1, len(data) - BLOCK // 4 + 1), BLOCK)
-        for at in starts:
-            block = data[at : at + BLOCK] if at != starts[-1] else data[at:]
-            good.append(len(self.good.compress(block)))
-            bad.append(len(self.bad.compress(block)))
-            raw.append(len(block))
-        g, b, r = np.array(good, float), np.array(bad, float), np.array(raw, float)
-        differences = (g - b) / (g + b)
-        return [(g.sum() - b.sum()) / (g.sum() + b.sum()), float(differences.max()), g.sum() / r.sum(), float((g / r).min()), float(np.log1p(r.sum()))]
-
-
-def features(rows: np.ndarray) -> np.ndarray:
-    """The evidence with the curvature that calibration needs; a ratio far below the usual speaks for repetition."""
-    d, m, ratio, least, size = rows.T
-    return np.column_stack([d, m, np.minimum(d, 0) ** 2, ratio, least, np.log(least + 0.02), np.log(ratio + 0.02), size])
+            return [0.0] * 6
+        parts = blocks(data)
+        good = np.array([len(self.good.compress(x)) for x in parts], float)
+        bad = np.array([len(self.bad.compress(x)) for x in parts], float)
+        each = (good - bad) / (good + bad)
+        return [(good.sum() - bad.sum()) / (good.sum() + bad.sum()), each.max(), each.min(), np.maximum(each, 0).mean(), np.sort(each)[-2:].mean(), each.std()]
 
 
 def fit(good: list[str], bad: list[str], seed: int = 42) -> Model:
@@ -85,9 +81,9 @@ def fit(good: list[str], bad: list[str], seed: int = 42) -> Model:
     scorer = Scorer(model)
     rest = [(t, 1.0) for t in good[half_g:]] + [(t, 0.0) for t in bad[half_b:]]
     if not good or not bad:
-        model.weights, model.means, model.scales = np.r_[4.0 if good else -4.0 if bad else 0.0, np.zeros(8)], np.zeros(8), np.ones(8)
+        model.weights, model.means, model.scales = np.r_[4.0 if good else -4.0 if bad else 0.0, np.zeros(6)], np.zeros(6), np.ones(6)
         return model
-    x, y = features(np.array([scorer.evidence(t) for t, _ in rest])), np.array([v for _, v in rest])
+    x, y = np.array([scorer.evidence(t) for t, _ in rest]), np.array([v for _, v in rest])
     model.means, model.scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = np.column_stack([np.ones(len(x)), (x - model.means) / model.scales])
     w = np.zeros(x.shape[1])
@@ -105,12 +101,11 @@ def fit(good: list[str], bad: list[str], seed: int = 42) -> Model:
 
 
 def score(scorer: Scorer, texts: list[str | None]) -> np.ndarray:
-    """Probability of label 1; texts without words have the score of their missing evidence, 0."""
-    rows = np.array([scorer.evidence(t) for t in texts]).reshape(-1, 5)
+    """Probability of label 1; blank texts have score 0."""
     m = scorer.model
-    x = (features(rows) - m.means) / m.scales
+    x = (np.array([scorer.evidence(t) for t in texts]).reshape(-1, 6) - m.means) / m.scales
     out = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
-    return np.where(rows[:, 4] == 0, 0.0, out)
+    return np.where([not (t or "").encode("utf-8", "surrogatepass").strip() for t in texts], 0.0, out)
 
 
 def fold(doc_id: str = "doc_id", of: int = 5) -> Column:
@@ -121,19 +116,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """Texts by label, at most ``rows`` of either, those with the lowest hashes of their ids.
 
     The choice is made from ids and lengths; only chosen texts (at most 2 * rows * chars characters) leave the
-    executors, met by a broadcast of at most 2 * rows ids.
+    executors, met by a broadcast of at most 2 * rows ids. Of rows that share an id the least text counts, of labels that
+    share one the greatest.
     """
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    sized = docs.where(usable & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
-    both = sized.where(F.col("n").between(1, chars)).join(marked, "doc_id").select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+    fits = docs.where(usable & F.col("doc_id").isNotNull() & F.length("text").between(1, chars))
+    both = fits.select("doc_id").distinct().join(marked, "doc_id").select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
     chosen = [both.where(F.col("label") == value).orderBy("h", "doc_id").limit(rows) for value in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "label", "h").collect()
     if not ids:
         return {0: [], 1: []}
     spark = docs.sparkSession
     few = F.broadcast(spark.createDataFrame([tuple(r) for r in ids], "doc_id long, label int, h long"))
-    texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(few, "doc_id").collect()
-    texts = sorted({(r["label"], r["h"], r["doc_id"], r["text"]) for r in texts})
+    texts = fits.join(few, "doc_id").groupBy("label", "h", "doc_id").agg(F.min("text").alias("text")).collect()
+    texts = sorted((r["label"], r["h"], r["doc_id"], r["text"]) for r in texts)
     return {value: [t for v, _, _, t in texts if v == value] for value in (0, 1)}
 
 
