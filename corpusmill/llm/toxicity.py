@@ -3,13 +3,15 @@
 A word is the mean of the vectors of its n-grams (hashed, with marks at both ends), a window the mean of its words, and
 a linear softmax on top says how toxic the window is; vectors and softmax are trained together by gradient descent in
 numpy. A misspelling shares most n-grams with the word it spoils. Labels belong to documents, while only few of their
-words are toxic: after a first pass over all windows, toxic documents are taught by their most toxic windows only. A
-document's evidence is its most toxic window, which a logistic curve, fitted on documents kept from the training,
-turns into a score.
+words are toxic: after a first pass over all windows, toxic documents are taught by their most toxic windows only, and a
+document's evidence is its most toxic window. (That departs from one bag a document: the average over a long text drowns a
+single word.) Scores of n-grams are the mean over several trainings, each on a part of the sample, and a logistic curve,
+fitted on what each says of the part that it has not seen, turns the evidence into a score.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +26,11 @@ from .quality_classifier import fold, labelled_sample
 GRAMS, BITS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 18, 16, 3
 #: Bounds of the labelled sample: rows of either label, and characters of a row that may take part.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 12_000
-#: Bytes of text that are scored together.
-CHUNK = 1 << 20
+#: Bytes of text that are scored together, and of a word; what is longer without white space counts as several words.
+CHUNK, LONGEST = 1 << 20, 1 << 16
+#: Parts of the sample that take turns in calibrating, and the weight of a toxic row in it.
+PARTS, MISSED = 4, 2.0
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 @dataclass
@@ -37,9 +42,24 @@ class Model:
     calibration: np.ndarray
 
 
-def _joined(text: str | None) -> tuple[bytes, int]:
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    return (b" " + b" ".join(words) + b" ", len(words)) if words else (b"", 0)
+def _pieces(text: str | None) -> Iterator[tuple[bytes, int, int]]:
+    """The words of a text in single spaces, in pieces of about CHUNK bytes: the bytes, how many words they are, and how
+    many of these the piece before had too, so that every window of words lies in a piece."""
+    text, at, carried = text or "", 0, []
+    while at < len(text):
+        cut = BLANK.search(text, at + CHUNK // 4) if len(text) - at > CHUNK // 4 else None
+        end = cut.start() if cut else len(text)
+        words = text[at:end].lower().encode("utf-8", "surrogatepass").split()
+        if end - at > LONGEST // 4:
+            words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+        begin, words = len(carried), carried + words
+        ends = np.cumsum([len(w) + 1 for w in words])
+        while begin < len(words):
+            to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + CHUNK)))
+            piece = words[max(0, begin - WINDOW + 1) : to]
+            yield b" " + b" ".join(piece) + b" ", len(piece), len(piece) - (to - begin)
+            begin = to
+        at, carried = end, words[1 - WINDOW :]
 
 
 def grams(data: np.ndarray) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
@@ -77,7 +97,7 @@ def word_scores(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def document_evidence(texts: list[str | None], model: Model) -> np.ndarray:
     """(most toxic window's logit, log of the words) for each text; the logit is NaN for a text without words."""
-    out = np.full((len(texts), 2), np.nan)
+    best, many = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
     held, sizes, which, total = [], [], [], 0
 
     def flush() -> None:
@@ -87,26 +107,24 @@ def document_evidence(texts: list[str | None], model: Model) -> np.ndarray:
         ends = np.cumsum(sizes)
         begins = ends - sizes
         sums = np.r_[0.0, np.cumsum(scores)]
-        last = np.repeat(np.maximum(ends - WINDOW, begins), sizes)  # where the document's last window begins
+        last = np.repeat(np.maximum(ends - WINDOW, begins), sizes)  # where the piece's last window begins
         at = np.minimum(np.arange(len(scores)), last)
         to = np.minimum(at + WINDOW, np.repeat(ends, sizes))
         logits = (sums[to] - sums[at]) / (to - at)
-        out[which, 0] = np.maximum.reduceat(logits, begins) + model.bias
-        out[which, 1] = np.log(sizes)
+        np.maximum.at(best, which, np.maximum.reduceat(logits, begins) + model.bias)
 
     for i, text in enumerate(texts):
-        data, n = _joined(text)
-        if not n:
-            continue
-        held.append(data)
-        sizes.append(n)
-        which.append(i)
-        total += len(data)
-        if total > CHUNK:
-            flush()
-            held, sizes, which, total = [], [], [], 0
+        for data, n, again in _pieces(text):
+            held.append(data)
+            sizes.append(n)
+            which.append(i)
+            many[i] += n - again
+            total += len(data)
+            if total > CHUNK:
+                flush()
+                held, sizes, which, total = [], [], [], 0
     flush()
-    return out
+    return np.column_stack([np.where(many > 0, best, np.nan), np.log(np.maximum(many, 1))])
 
 
 class _Trainer:
@@ -182,24 +200,21 @@ class _Trainer:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    """Weights of a logistic curve; a toxic row counts MISSED times, since missing one costs more than flagging a clean one."""
+    x, w, counts = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1), np.where(y > 0, MISSED, 1.0)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (p - y) + 0.05 * np.r_[0, w[1:]])
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w)), x.T @ (counts * (p - y)) + 0.05 * np.r_[0, w[1:]])
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(toxic: list[str], clean: list[str], seed: int = 42) -> Model:
-    """Three quarters of the sample train, the last quarter calibrates."""
-    toxic, clean = [t for t in toxic if t.split()], [t for t in clean if t.split()]
-    if not toxic or not clean:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
-    cut_t, cut_c = max(1, len(toxic) * 3 // 4), max(1, len(clean) * 3 // 4)
-    trainer = _Trainer(toxic[:cut_t] + clean[:cut_c], seed)
-    is_toxic = trainer.document < cut_t
+def _trained(toxic: list[str], clean: list[str], seed: int) -> Model:
+    """A model without calibration."""
+    trainer = _Trainer(toxic + clean, seed)
+    is_toxic = trainer.document < len(toxic)
     pos, neg = np.flatnonzero(is_toxic), np.flatnonzero(~is_toxic)
     rng = trainer.rng
     few = lambda a, n: a if len(a) <= n else np.sort(rng.choice(a, n, replace=False))
@@ -208,7 +223,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 42) -> Model:
         trainer.epoch(first, is_toxic[first], 0.3)
     for _ in range(3):
         logits = trainer.window_logits(pos)
-        best = np.full(cut_t, -np.inf)
+        best = np.full(len(toxic), -np.inf)
         np.maximum.at(best, trainer.document[pos], logits)
         taught = few(pos[logits >= best[trainer.document[pos]] - 1.0], 15_000)
         against = trainer.window_logits(neg)
@@ -216,11 +231,26 @@ def fit(toxic: list[str], clean: list[str], seed: int = 42) -> Model:
         chosen = np.r_[taught, few(neg, 2 * len(taught)), hard]
         for _ in range(3 if len(chosen) > 10_000 else 8):
             trainer.epoch(chosen, is_toxic[chosen], 0.3)
-    model = Model(trainer.gram_scores().astype(np.float32), float(trainer.bias[1] - trainer.bias[0]), np.zeros(3))
-    kept = [*toxic[cut_t:], *clean[cut_c:]] or [*toxic, *clean]
-    y = np.r_[np.ones(len(toxic[cut_t:])), np.zeros(len(clean[cut_c:]))] if len(kept) < len(toxic) + len(clean) else np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    model.calibration = _logistic(document_evidence(kept, model), y)
-    return model
+    return Model(trainer.gram_scores().astype(np.float32), float(trainer.bias[1] - trainer.bias[0]), np.zeros(3))
+
+
+def fit(toxic: list[str], clean: list[str], seed: int = 42) -> Model:
+    """The mean of PARTS models, each trained without a part of the sample; what they say of the parts that they have not
+    seen calibrates it. With less than two rows of either kind one model is trained and calibrated on all."""
+    toxic, clean = [t for t in toxic if t.split()], [t for t in clean if t.split()]
+    if not toxic or not clean:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
+    parts = min(PARTS, len(toxic), len(clean))
+    models, evidence, y = [], [], []
+    for part in range(parts):
+        split = lambda texts, inside: texts if parts == 1 else [t for i, t in enumerate(texts) if (i % parts == part) == inside]  # noqa: B023, E731
+        model = _trained(split(toxic, False), split(clean, False), seed + part)
+        held_t, held_c = split(toxic, True), split(clean, True)
+        models.append(model)
+        evidence.append(document_evidence(held_t + held_c, model))
+        y += [1.0] * len(held_t) + [0.0] * len(held_c)
+    mean = np.mean([m.gram_scores for m in models], axis=0).astype(np.float32)
+    return Model(mean, float(np.mean([m.bias for m in models])), _logistic(np.vstack(evidence), np.array(y)))
 
 
 def score(texts: list[str | None], model: Model) -> np.ndarray:
