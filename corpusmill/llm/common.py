@@ -60,6 +60,11 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that can be hashed."""
+    return [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

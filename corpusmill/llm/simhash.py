@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions, staged
+from .common import connected_components, hashable, partitions, staged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows that are compared together in one bucket; larger buckets are dealt into parts that meet in pairs.
 BUCKET = 16_384
+#: Stands for a missing id, behind all others.
+NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -51,14 +53,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for each row; fp is the fingerprint as a signed long."""
+    """The columns of ``docs`` but ``text``, and ``fp``, the text's fingerprint as a signed long, for each row."""
+    keys = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            made = [fingerprint(x.as_py()) for x in batch.column(len(keys))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64())], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keys, F.col("text").cast("string")).mapInArrow(run, f"{kinds}, fp long")
 
 
 def tables(n: int, radius: int = RADIUS) -> list[int]:
@@ -217,6 +221,17 @@ def bucket_links(classes: DataFrame, masks: list[int], radius: int = RADIUS, lim
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def components(prints: DataFrame, least: Column, radius: int = RADIUS) -> DataFrame:
+    """``(fp, component_id)`` for each fingerprint of ``prints(fp, ...)``: the lowest ``least`` of its component."""
+    classes = staged(prints.groupBy("fp").agg(F.min(least).alias("least")), "classes")
+    links = bucket_links(classes.select("fp"), tables(classes.count(), radius), radius)
+    nodes = staged(connected_components(links), "components")
+    labelled = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    labelled = staged(labelled, "labelled")
+    least_of = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    return labelled.select("fp", "component").join(least_of, "component").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``.
 
@@ -224,16 +239,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     has no words. Rows that share an id are rows of their own; a null id never becomes a component_id unless the
     component has none other. An empty table gives an empty result.
     """
-    prints = staged(fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = staged(classes, "classes")
-    links = bucket_links(classes.select("fp"), tables(classes.count(), radius), radius)
-    nodes = staged(connected_components(links), "components")
-    labelled = classes.join(nodes, classes.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    labelled = staged(labelled, "labelled")
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = labelled.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    prints = staged(fingerprints(docs.select(F.col("doc_id").cast("long"), "text")), "fingerprints")
+    return prints.join(components(prints, F.col("doc_id"), radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -246,6 +253,17 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their component, with the columns of ``docs``."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each component, with the columns of ``docs``: the one with the smallest id, a null id last.
+
+    Of rows that share this id the one with the lowest hash of its columns stays, and of rows that are equal in all
+    columns one. Rows are met by id and hash, so a group of copies is never gathered; names of columns cannot clash.
+    """
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(*hashable(docs)).alias("tie"), "text", F.struct("*").alias("row"))
+    prints = staged(fingerprints(keyed.select("did", "tie", "text")), "fingerprints")
+    chosen = components(prints, F.struct("did", "tie")).select("component_id.*").distinct()
+    chosen = staged(prints.join(chosen, ["did", "tie"]).groupBy("did", "tie").agg(F.count(F.lit(1)).alias("n")), "chosen")
+    rows, repeated = keyed.select("did", "tie", "row"), chosen.where("n > 1")
+    out = rows.join(chosen.where("n = 1"), ["did", "tie"], "left_semi")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, ["did", "tie"], "left_semi").dropDuplicates(["did", "tie"]))
+    return out.select("row.*")
