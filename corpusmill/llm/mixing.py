@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, hashable, staged
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -99,9 +99,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = 3, p
             n = min(int(spare[i]), max(0, -(-(rest - programme) // int(lengths[i]))), rest // int(lengths[i]))
             extra[i], spare[i], rest = extra[i] + n, spare[i] - n, rest - n * int(lengths[i])
     rest = min(rest, int((spare * lengths).sum()))
-    if rest > programme * 4:  # lengths beyond the programme's budget only: take none of them
-        return passes, extra
+    # above the programme's budget nothing is usable: each length was taken whole, down to that budget, or as far as it fits
     usable = [i for i in order if spare[i] > 0 and 0 < lengths[i] <= rest]
+    if not usable:
+        return passes, extra
     taken = knapsack([int(lengths[i]) for i in usable], [int(spare[i]) for i in usable], rest)
     for i in usable:
         extra[i] += taken.get(int(lengths[i]), 0)
@@ -121,27 +122,38 @@ def plan(histogram: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
     return both.groupBy("source").applyInPandas(solve, "source string, size long, n long, source_size long, target double, passes long, extra long")
 
 
-def mix(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = 3, group: int = 20_000) -> DataFrame:
-    """``sizes(doc_id, source, size)`` with ``source_size``, ``target`` and ``copies``, how often the mix takes the row.
+def shares(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = 3, group: int = 512) -> DataFrame:
+    """``sizes(doc_id, source, size, tie)``, each distinct row once, with ``n`` (how often it is there), ``source_size``,
+    ``target``, ``passes`` (how often the mix takes each of the n) and ``again`` (how many of the n it takes once more).
 
-    Documents of one source and length are alike to the plan; those with the lowest seeded hashes are taken. Groups
-    of more than ``group`` rows are ranked in salted parts of about that size, which a running count puts in order.
+    Documents of one source and length are alike to the plan; those with the lowest seeded hashes are taken. Equal rows
+    are counted before they are shuffled. Groups of more than ``group`` rows are ranked in salted parts of about that
+    size, which a running count puts in order.
     """
-    sizes = staged(sizes.select("doc_id", "source", "size"), "sizes")
-    histogram = staged(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    sizes = staged(sizes.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    histogram = staged(sizes.groupBy("source", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")), "lengths")
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     chosen = staged(plan(histogram, targets(totals, weights, most), most), "plan")
-    chosen = chosen.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "n", "source_size", "target", "passes", "extra")
-    rows = sizes.join(chosen, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("salt", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("n") / group))).cast("long"))
-    parts = rows.where(F.col("n") > group).groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("in_part"))
+    same = lambda a, b: F.col(f"{a}_source").eqNullSafe(F.col(f"{b}_source")) & (F.col(f"{a}_size") == F.col(f"{b}_size"))
+    named = lambda df, p: df.withColumnsRenamed({"source": f"{p}_source", "size": f"{p}_size"})
+    known = named(chosen.drop("n"), "p").join(named(histogram.drop("n"), "h"), same("p", "h")).drop("h_source", "h_size")
+    rows = sizes.join(known, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "tie", F.lit(seed))).withColumn("salt", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("rows") / group))).cast("long"))
+    parts = rows.where(F.col("rows") > group).groupBy("source", "size", "salt").agg(F.sum("n").alias("in_part"))
     earlier = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("salt").alias("p_salt"), F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", F.asc_nulls_last("doc_id")))
-    ranked = rows.withColumn("rank", rank)
-    ranked = ranked.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("salt") == F.col("p_salt")), "left")
-    again = (F.col("rank") + F.coalesce("ahead", F.lit(0)) <= F.col("extra")).cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + again).alias("copies"))
+    parts = named(parts.withColumn("ahead", F.coalesce(F.sum("in_part").over(earlier), F.lit(0))), "q").select("q_source", "q_size", F.col("salt").alias("q_salt"), "ahead")
+    before = Window.partitionBy("source", "size", "salt").orderBy("h", F.asc_nulls_last("doc_id"), "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranked = ranked.join(parts, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("salt") == F.col("q_salt")), "left")
+    again = F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("before") - F.coalesce("ahead", F.lit(0))))
+    return ranked.select("doc_id", "source", "size", "tie", "n", "source_size", "target", "passes", again.alias("again"))
+
+
+def mix(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = 3, group: int = 512) -> DataFrame:
+    """``sizes(doc_id, source, size[, tie])`` with ``source_size``, ``target`` and ``copies``, how often the mix takes the row."""
+    tie = F.col("tie") if "tie" in sizes.columns else F.lit(0).cast("long")
+    each = shares(sizes.select("doc_id", "source", "size", tie.alias("tie")), seed, weights, most, group).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + (F.col("i") <= F.col("again")).cast("long")).alias("copies"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -149,21 +161,22 @@ def digest(docs: DataFrame) -> DataFrame:
 
     Repeated rows are rows of their own. A source without words has target 0. An empty table gives an empty result.
     """
-    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
 def sample(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as the mix takes them, with the columns of ``docs``."""
-    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seed)
-    # one entry for each id and size; repeated rows of one id share their copies evenly enough to add up
-    takes = mixed.where("copies > 0 and size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    takes = takes.agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    sized = docs.withColumn("__n", word_count(F.col("text")))
-    joined = sized.join(takes, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    many = joined.where(F.size("__copies") > 1)
-    one = joined.where(F.size("__copies") == 1).withColumn("__k", F.get("__copies", F.lit(0)))
-    turn = Window.partitionBy("__id", "__source", "__size").orderBy("text")
-    many = many.withColumn("__k", F.get("__copies", F.row_number().over(turn) - 1))
-    out = one.unionByName(many).where("__k > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"))))
-    return out.select(*docs.columns)
+    """The mix itself: rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
+
+    Rows without words are not taken. Rows that are equal in all columns become one, which comes as often as all of them
+    are taken. Rows and their shares are met by a hash of the columns; names of columns cannot clash.
+    """
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*hashable(docs)).alias("tie"), F.struct("*").alias("row"))
+    taken = shares(keyed.select("doc_id", "source", "size", "tie"), seed).withColumn("copies", F.col("passes") * F.col("n") + F.col("again")).where("copies > 0 and size > 0")
+    taken = staged(taken.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), "tie", "n", "copies"), "taken")
+    rows = keyed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), "tie", "row")
+    out = rows.join(taken.where("n = 1").drop("n"), ["did", "tie"])
+    repeated = taken.where("n > 1").drop("n")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, ["did", "tie"]).dropDuplicates(["did", "tie"]))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
