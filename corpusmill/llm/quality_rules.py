@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
+#: What stands between words.
+BLANK = " \t\n\x0b\x0c\r"
 #: How a line of prose ends.
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*$"""
 #: Marks between the entries of menus and tables.
@@ -27,6 +29,10 @@ BOILERPLATE = (
 )
 
 
+#: Columns that the rules add.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -69,8 +75,8 @@ def line_fails(line: Column, furnished: Column | bool = True, max_mark_share: fl
     Navigation: marks between entries make up no more than ``max_separator_share`` of its words.
     Boilerplate: no phrase of page furniture; looked for only where ``furnished``.
     """
-    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    open_end = ~F.right(F.rtrim(line), F.lit(4)).rlike(SENTENCE_END)
+    n = F.regexp_count(line, F.lit(WORD))
+    open_end = ~F.right(F.rtrim(line, F.lit(BLANK)), F.lit(4)).rlike(SENTENCE_END)
     shouted = F.regexp_count(line, F.lit(MARK_RUN)) > max_mark_share * n
     navigation = F.regexp_count(line, F.lit(SEPARATORS)) > max_separator_share * n
     return open_end | shouted | navigation | (F.lit(furnished) & has_boilerplate(F.lower(line)))
@@ -84,25 +90,26 @@ def quality_rules(docs: DataFrame, text: str = "text", max_loss: float = 0.5, mi
     where the failing lines hold more than ``max_loss`` of the characters in words. Repeated rows are judged alike.
     """
     size = 3
-    out = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__low", F.lower("__t")).withColumn("__w", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))
-    out = out.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)))
-    out = out.withColumn("__r", repeated_window_words(F.col("__w"), size))
-    out = out.withColumn("__s", covered(F.col("__r"), size))
-    out = out.withColumn("__f", has_boilerplate(F.col("__low")))
+    row, t = F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit(""))
+    out = docs.select(row, t.alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
+    out = out.withColumn("l", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
+    out = out.withColumn("s", repeated_window_words(F.col("w"), size))
+    out = out.withColumn("s", covered(F.col("s"), size))
     # outside the lambda, so that the test on the whole text is made once a row and not once a line
-    out = out.withColumn("__bad", F.when(F.col("__f"), F.filter("__l", lambda x: line_fails(x))).otherwise(F.filter("__l", lambda x: line_fails(x, False))))
+    out = out.withColumn("f", has_boilerplate(F.lower("t")))
+    out = out.withColumn("bad", F.when(F.col("f"), F.filter("l", lambda x: line_fails(x))).otherwise(F.filter("l", lambda x: line_fails(x, False))))
     out = out.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": covered_words(F.col("__s"), size),
-        "__lost": F.length(F.regexp_replace(F.array_join("__bad", ""), r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_words": F.size("w").cast("long"),
+        "word_chars": F.length(F.array_join("w", "")).cast("long"),
+        "n_symbols": F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
+        "n_repeat_words": covered_words(F.col("s"), size),
+        "lost": F.length(F.regexp_replace(F.array_join("bad", ""), r"[\x20\x09-\x0D]+", "")).cast("long"),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(int(100 * max_repeat)) * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("__lost") <= max_loss * F.col("word_chars")))
-    out = out.withColumn("clean_text", F.array_join(F.filter(F.split("__t", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n"))
-    return out.drop("__t", "__low", "__w", "__l", "__r", "__s", "__f", "__bad", "__lost")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_loss * F.col("word_chars")))
+    out = out.withColumn("clean_text", F.array_join(F.filter(F.split("t", "\n"), lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in MADE], *MADE)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ tri AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM (
 twice AS (SELECT doc_id, p FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-lw AS (SELECT doc_id, line, length(line) - length(replace(line, ' ', '')) + 1 AS n, length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-judged AS (SELECT doc_id, line, c, NOT regexp_matches(right(rtrim(line, ' '), 4), '[.!?:;…。！？]["''”’»)\]]*$') OR len(regexp_extract_all(line, '[!?#*$%&<>^~=_+]{{2,}}')) > 0.3 * n OR len(regexp_extract_all(line, '[|›•·>]')) > 0.15 * n
+lw AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '')) AS c FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, line, c, NOT regexp_matches(right(rtrim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 4), '[.!?:;…。！？]["''”’»)\]]*$') OR len(regexp_extract_all(line, '[!?#*$%&<>^~=_+]{{2,}}')) > 0.3 * n OR len(regexp_extract_all(line, '[|›•·>]')) > 0.15 * n
  OR regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}') AS bad FROM lw),
 by_doc AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(c) FILTER (bad), 0) AS lost FROM judged GROUP BY doc_id),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
