@@ -8,10 +8,10 @@ documents themselves are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shared_path, staged
 
 SLOTS = 8192
 
@@ -68,42 +68,50 @@ def rebalanced(slot_map: DataFrame, loads: DataFrame, n_shards: int) -> DataFram
     )
 
 
-def write_map(slot_map: DataFrame, path: str) -> None:
-    """Adds a version to the stored map; earlier versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+def write_map(slot_map: DataFrame, path: str, version: int) -> None:
+    """Stores a version of the map; earlier versions stay readable, and writing a version again replaces it alone."""
+    slot_map.select("virtual_slot", "shard").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def read_map(stored: DataFrame, version: int | None = None) -> DataFrame:
-    """A version of a stored map, the newest by default."""
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """``(virtual_slot, shard, version)`` of a version of the stored map, the newest by default."""
+    stored = spark.read.parquet(path).select("virtual_slot", "shard", "version")
     if version is None:
-        newest = stored.agg(F.max("version").alias("version"))
-        return stored.join(F.broadcast(newest), "version").select("virtual_slot", "shard", "version")
-    return stored.where(F.col("version") == version).select("virtual_slot", "shard", "version")
+        version = stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == version)
 
 
 def assign(docs: DataFrame, slot_map: DataFrame, keys: list[Column], n_slots: int = SLOTS) -> DataFrame:
-    """``docs`` with ``virtual_slot`` and ``shard`` (columns of these names are replaced); a narrow operation."""
-    where = slot_map.select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard"))
-    out = docs.withColumn("virtual_slot", virtual_slot(keys, n_slots)).join(F.broadcast(where), F.col("virtual_slot") == F.col("__slot"), "left")
-    return out.withColumn("shard", F.col("__shard")).drop("__slot", "__shard")
+    """``docs`` with ``virtual_slot`` and ``shard`` (columns of these names are replaced); a narrow operation.
+
+    Other columns are carried inside a struct, so no name can clash. A slot that the map lacks gives a null shard.
+    """
+    rows = docs.select(virtual_slot(keys, n_slots).alias("virtual_slot"), F.struct("*").alias("row"))
+    out = rows.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot", "left")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("virtual_slot", "shard")], "virtual_slot", "shard")
 
 
 def digest(docs: DataFrame, n_shards: int = 24, n_slots: int = SLOTS) -> DataFrame:
     """Query op9, law ``bytes``: shards 0 to ``n_shards`` - 1 of nearly equal size.
 
-    ``slot`` numbers the rows of a shard from 0 without gaps: slots of the map come in order, each with an offset,
-    and rows are numbered inside their slot. Equal records (id and text alike) are counted before the shuffle and
-    expanded after it, so no number of repeats meets in one task. A null text has size 8 and the CRC of no bytes,
-    a null id hashes by its text; an empty table gives an empty result. ``grown_shard`` is null under this law.
+    Version 0 of the map deals the slots in turn, version 1 is its edit for the bytes that were counted; both are stored
+    in the shared folder, and rows go where the newest stored version says. ``slot`` numbers the rows of a shard from 0
+    without gaps: slots of the map come in order, each with an offset, and rows are numbered inside their slot. Equal
+    records (id and text alike) are counted before the shuffle and expanded after it, so no number of repeats meets in
+    one task. A null text has size 8 and the CRC of no bytes, a null id hashes by its text; an empty table gives an empty
+    result. ``grown_shard`` is null under this law.
     """
+    spark = docs.sparkSession
     records = docs.select("doc_id", record_size(F.col("text")).alias("size"), text_crc(F.col("text")).alias("text_crc32"))
     records = records.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     keys = [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
     records = staged(records.withColumn("virtual_slot", virtual_slot(keys, n_slots)), "records")
-    loads = slot_bytes(records)
-    slot_map = staged(rebalanced(initial_map(loads, n_shards), loads, n_shards).join(loads, "virtual_slot"), "slot-map")
+    loads = staged(slot_bytes(records), "loads")
+    path = shared_path(spark, "slot-map")
+    write_map(initial_map(spark.range(n_slots).select(F.col("id").cast("int").alias("virtual_slot")), n_shards), path, 0)
+    write_map(rebalanced(read_map(spark, path, 0), loads, n_shards), path, 1)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    placed = read_map(spark, path).join(loads, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     earlier = Window.partitionBy("virtual_slot").orderBy(F.xxhash64("size", "text_crc32", "doc_id"), "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     numbered = records.withColumn("inside", F.coalesce(F.sum("copies").over(earlier), F.lit(0))).join(F.broadcast(placed), "virtual_slot")
     numbered = numbered.withColumn("slot", F.col("first") + F.col("inside"))
