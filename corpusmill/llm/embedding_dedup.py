@@ -26,8 +26,8 @@ from .common import connected_components, partitions, staged
 from .simhash import spanning
 
 THRESHOLD = 0.95
-#: Bound of the sample that the codebooks are fitted on.
-SAMPLE = 20_000
+#: Bounds of the sample that the codebooks are fitted on: vectors and bytes.
+SAMPLE, SAMPLE_BYTES = 20_000, 1 << 24
 #: Share of the links at the threshold itself that the traversal has to find; nearer ones are found more surely.
 RECALL = 0.999
 #: Members of a block that are aimed at and the most that are searched together, and queries that meet them at once.
@@ -134,15 +134,16 @@ def radius2_for(threshold: float, recall: float, dim: int, k: int) -> float:
     """Squared bound at which the traversal may end.
 
     Unit vectors with cosine ``threshold`` are delta^2 = 2 - 2 * threshold apart, and at recall 1 that is the bound.
-    A displacement in no special direction has a share of more than t of its square in a plane with odds of
-    (1 - t)^((dim - 2) / 2); below 1 the bound is where those odds, once for each codeword near by (at most 16 are
-    counted), come to 1 - recall.
+    A displacement in no special direction of a half has a share of more than t of its square in one direction with odds
+    of (1 - t)^((h - 2) / 2), where h are the dimensions of the half; below 1 the bound is where those odds, once for each
+    codeword near by (at most 16 are counted), come to 1 - recall. That holds for displacements inside one half, and
+    leaves a margin for those that both halves share.
     """
-    delta2 = 2 - 2 * threshold
-    if recall >= 1 or dim <= 4:
+    delta2, half = 2 - 2 * threshold, dim // 2
+    if recall >= 1 or half <= 4:
         return delta2 + 1e-9
     odds = (1 - recall) / min(k, 16)
-    return delta2 * (1 - odds ** (2 / (dim - 2))) + 1e-9
+    return delta2 * (1 - odds ** (2 / (half - 2))) + 1e-9
 
 
 def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -153,7 +154,10 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
     cell; in a block it meets the members of the cells that it visits.
     """
     spark = classes.sparkSession
-    sample = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").select("vec").limit(SAMPLE).collect()]
+    # a share of the hashes, so that each task sends its few vectors and nothing is sorted; the limit hardly ever acts
+    most = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    share = F.lit(True) if n <= most else F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 32)) < int(0.9 * most / n * (1 << 32))
+    sample = sorted(bytes(r["vec"]) for r in classes.where(share).select("vec").limit(most).collect())
     x, half = unit(sample, dim), dim // 2
     rng = np.random.default_rng(3)
     k = codewords_for(n)
