@@ -24,6 +24,17 @@ from pyspark.sql import functions as F
 #: A space between two characters that are not white space always begins a match of the pattern.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 CLOSE_SPACES = re.compile(r"\s\s")
+#: Characters of a text that are cut into words together.
+STRETCH = 1 << 20
+
+
+def stretches(text: str) -> Iterator[str]:
+    """Parts of about STRETCH characters, cut at spaces that begin a match, so that a long text is not split all at once."""
+    at = 0
+    while len(text) - at > STRETCH and (cut := SAFE_CUT.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +78,8 @@ class _Units(dict):
 class TreeEncoder:
     """Encoder of byte strings and texts. Caches are bounded: one that reaches ``room`` entries starts afresh.
 
-    The cache of text units has two generations, so that units in use survive a fresh start.
+    The cache of text units has two generations, so that units in use survive a fresh start. Texts are cut at spaces for
+    it under the default pattern only, of which it is known that a match begins there.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 200_000) -> None:
@@ -77,7 +89,7 @@ class TreeEncoder:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.find = regex.compile(pattern).findall
+        self.find, self.safe = regex.compile(pattern).findall, pattern == default_pattern()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[int, ...]] = {}
         self.windows: dict[bytes, tuple[int, ...]] = {}
@@ -187,11 +199,14 @@ class TreeEncoder:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        words = SAFE_CUT.split(text) if CLOSE_SPACES.search(text) else text.split(" ")
-        first = self.encode_unit(words[0]) if words[0] else b""
-        return first + b"".join(map(self.units.__getitem__, words[1:]))
+        if not text or not self.safe:
+            return self.encode_unit(text)
+        out = []
+        for part in stretches(text):
+            words = SAFE_CUT.split(part) if CLOSE_SPACES.search(part) else part.split(" ")
+            out.append(self.encode_unit(words[0]) if words[0] else b"")
+            out += map(self.units.__getitem__, words[1:])
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_packed(text)).tolist() if text else []

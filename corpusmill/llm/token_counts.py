@@ -3,7 +3,8 @@
 A pre-token's best segmentation is found by a forward pass over its characters; pre-tokens that begin alike share that
 pass. The distinct pre-tokens of a task's texts go into a trie, whose nodes carry the best score of the prefix they
 spell and the number of pieces that reach it; a node is computed once, when the first pre-token passes it. The count at
-the node where a pre-token ends is its number of tokens.
+the node where a pre-token ends is its number of tokens. A pre-token of more than LONG bytes makes the same pass without
+the trie, and keeps scores as far back as the longest piece reaches.
 
 The pieces are those of a public byte-level vocabulary. Unigram scores are not trained but follow from the ranks by
 Zipf's rule: score = -ln(rank + 2.7), its usual offset. All single bytes are pieces, so every text can be segmented.
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CLOSE_SPACES, SAFE_CUT, default_pattern, default_ranks, load_ranks
+from .bpe import CLOSE_SPACES, SAFE_CUT, default_pattern, default_ranks, load_ranks, stretches
 
 OFFSET = 2.7
+#: Bytes of a pre-token that may enter the trie.
+LONG = 1024
 
 
 def piece_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -43,6 +46,7 @@ class CountingTrie:
                 tail = piece[i:]
                 if tail not in self.endings:
                     self.endings[tail] = scores.get(tail, -math.inf)
+        self.longest = max(map(len, scores), default=1)
         self.room = room
         self.root: list = [0.0, 0, {}]
         self.nodes = 0
@@ -50,6 +54,8 @@ class CountingTrie:
 
     def token(self, token: bytes) -> int:
         """Pieces of the best segmentation of ``token``, from its terminal count if it was met before."""
+        if len(token) > LONG:
+            return self.count_long(token)
         found = self.terminal.get(token)
         if found is None:
             if self.nodes > self.room:
@@ -80,6 +86,28 @@ class CountingTrie:
         return node[1]
 
 
+    def count_long(self, token: bytes) -> int:
+        """The same in bounded memory."""
+        endings, longest = self.endings, self.longest
+        path, cut = [(0.0, 0)], 0  # the scores of prefixes of ``cut`` bytes and more
+        for end in range(1, len(token) + 1):
+            best, pieces, begin = -math.inf, 0, end - 1
+            while begin >= 0:
+                score = endings.get(token[begin:end])
+                if score is None:
+                    break
+                before = path[begin - cut]
+                score += before[0]
+                if score > best or (score == best and before[1] + 1 < pieces):
+                    best, pieces = score, before[1] + 1
+                begin -= 1
+            path.append((best, pieces))
+            if len(path) > 16 * longest:
+                cut += len(path) - longest
+                del path[:-longest]
+        return path[-1][1]
+
+
 class _Units(dict):
     """Counts of words that follow a space, made when first asked for; two generations of bounded size."""
 
@@ -107,7 +135,7 @@ class TokenCounter:
         import regex
 
         self.trie = CountingTrie(piece_scores(ranks))
-        self.find = regex.compile(pattern).findall
+        self.find, self.safe = regex.compile(pattern).findall, pattern == default_pattern()
         self.units = _Units(self, room)
 
     def unit(self, text: str) -> int:
@@ -117,10 +145,10 @@ class TokenCounter:
 
     def text(self, text: str) -> tuple[int, int]:
         """(pre-tokens, tokens) of a text."""
-        if not text:
-            return 0, 0
-        words = SAFE_CUT.split(text) if CLOSE_SPACES.search(text) else text.split(" ")
-        total = (self.unit(words[0]) if words[0] else 0) + sum(map(self.units.__getitem__, words[1:]))
+        total = 0
+        for part in stretches(text) if self.safe else [text]:
+            words = [part] if not self.safe else SAFE_CUT.split(part) if CLOSE_SPACES.search(part) else part.split(" ")
+            total += (self.unit(words[0]) if words[0] else 0) + sum(map(self.units.__getitem__, words[1:]))
         return total >> self.SHIFT, total & ((1 << self.SHIFT) - 1)
 
 
