@@ -33,6 +33,8 @@ WINDOW, ANCHOR = 20, 6
 PLACES = WINDOW - ANCHOR + 1
 #: Suffixes that may share a prefix of an anchor's words before it is lengthened to the whole window.
 GROUP = 20_000
+#: Parts of a group of copies.
+SALTS = 8
 #: Lengthened suffixes that a task holds to combine equal ones before they are shipped.
 HELD = 50_000
 #: Suffixes that a task has in memory at once (whole groups, so up to GROUP times a document's repeats more).
@@ -294,10 +296,14 @@ def tree_marks(rows: DataFrame) -> DataFrame:
 
 
 def whole_copies(docs: DataFrame) -> DataFrame:
-    """``(did, tie)`` of the documents whose text is that of an earlier one, from ``docs(did, tie, text)``."""
-    hashed = staged(docs.select("did", "tie", F.sha2("text", 256).alias("m")), "texts")
-    first = hashed.groupBy("m").agg(F.min("did").alias("first"))
-    return staged(hashed.join(first, "m").where(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
+    """``(did, tie)`` of the documents whose text is that of an earlier one, from ``docs(did, tie, text)``.
+
+    A text's copies meet its first document in SALTS parts, so that no task has them all.
+    """
+    hashed = staged(docs.select("did", "tie", F.sha2("text", 256).alias("m"), F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int").alias("salt")), "texts")
+    first = hashed.groupBy("m").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    first = first.select("m", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return staged(hashed.join(first, ["m", "salt"]).where(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
 
 
 def repeated_anchors(docs: DataFrame, copies: DataFrame) -> DataFrame:
