@@ -22,6 +22,7 @@ EVIDENCE = (
     "_preamble", "abstract", "introduction", "background", "results", "discussion", "conclusion", "conclusions",
     "methods", "materials and methods",
 )
+#: A line that is a heading, numbered or not.
 HEADING = r"(?i)^\s*(?:\d+\.?\s*)?(" + "|".join(HEADINGS) + r")\s*:?\s*$"
 #: Where lines end.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -230,5 +231,5 @@ def prompt(parts: list[Column]) -> Column:
 
 
 def signed_number(x: Column, digits: int = 3) -> Column:
-    """with its sign, or n/a."""
-    return F.coalesce(F.format_string(f"%+.{digits}f", x), F.lit("n/a"))
+    """with its sign; n/a for null and NaN."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.format_string(f"%+.{digits}f", x)).otherwise("n/a")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_object
@@ -101,25 +101,42 @@ def code_support(verdicts: DataFrame, criteria: tuple[str, ...] = CRITERIA) -> D
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row with the greatest order by key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """Of each key the row with the least ``order``; an aggregate with map-side combine, so no key is gathered.
+
+    ``order`` are values that grow towards the older rows; :func:`descending` turns one that shrinks.
+    """
+    names = [c for c in df.columns if c not in keys]
+    best = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*names).alias("row"))).alias("best")
+    return df.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col("best.row").getField(c).alias(c) for c in df.columns])
+
+
+def descending(value: Column) -> Column:
+    """A number or time that grows as ``value`` shrinks; nulls come last."""
+    seconds = F.coalesce(-F.unix_micros(value.cast("timestamp")), F.lit((1 << 63) - 1))
+    return seconds
 
 
 def by_judge(verdicts: DataFrame, judge: str | None = None) -> DataFrame:
     """Verdicts of one judge, or without one the newest of each (paper, criterion)."""
     if judge is not None:
         return verdicts.where(F.col("model") == judge)
-    return newest(verdicts, ["code_number", "pdf_path", "criterion"], [F.desc("run_ts"), F.asc("model")])
+    return newest(verdicts, ["code_number", "pdf_path", "criterion"], [descending(F.col("run_ts")), F.col("model")])
 
 
-def usage_cost(calls: DataFrame, by: list[str], fresh: float, cached: float, out: float) -> DataFrame:
-    """Calls and tokens summed, and their cost from prices of a million tokens; fresh tokens are never below 0."""
-    sums = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt", "cached", "completion", "reasoning")])
+def usage_cost(calls: DataFrame, by: list[str], fresh: float, cached: float, out: float, paper: str | None = None) -> DataFrame:
+    """Calls and tokens summed, and their cost from prices of a million tokens; fresh tokens are never below 0.
+    ``paper`` names the papers to be counted too."""
+    papers = [F.count_distinct(paper).alias("papers")] if paper else []
+    sums = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), *papers, *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt", "cached", "completion", "reasoning")])
     cost = F.greatest(F.lit(0), F.col("prompt") - F.col("cached")) * fresh + F.col("cached") * cached + F.col("completion") * out
     return sums.withColumn("cost", cost / 1e6)
 
 
+def extrapolated(cost: Column, papers: Column, total: int) -> Column:
+    """What ``total`` papers would cost at the same price a paper; null without papers."""
+    return F.try_divide(cost, papers) * total
+
+
 def chunk_records(parsed: DataFrame, prompt_hash: Column) -> DataFrame:
     """Flat chunk records with the defaults of values from before the gate."""
     present = set(parsed.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -116,3 +116,11 @@ def compared(old: DataFrame, new: DataFrame, criteria: tuple[str, ...] = CRITERI
     """A18 for two sets of verdicts, side by side."""
     both = old.select("criterion", "verdict", F.lit("old").alias("side")).unionByName(new.select("criterion", "verdict", F.lit("new").alias("side")))
     return stats.categorical_distribution(both.where(F.col("criterion").isin(*criteria)), ["criterion", "side"], "verdict", list(VERDICTS))
+
+
+def as_of(rows: DataFrame, by: list[str], time: str, value: Column, name: str) -> DataFrame:
+    """The greatest ``value`` among a key's rows up to each row's time, equal times included; null before the first.
+
+    One pass over the rows of a key in order of time; both sides of an as-of join are one table here, so nothing is joined.
+    """
+    return rows.withColumn(name, F.max(value).over(Window.partitionBy(*by).orderBy(time)))

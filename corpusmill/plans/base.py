@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.stats import nearest_level
+from ..sources.store import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which all machines share; removed when the driver ends."""
+    return shared_path(spark, name)
+
+
 def rounded(x: Column | str, digits: int = 5) -> Column:
     """Published figures; + 0.0 makes the negative zero plain."""
     return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)

@@ -9,7 +9,7 @@ from ..functions import stats
 from ..operators import corpus, judging, ranking, topics
 from ..sources import store
 from ..streaming import ingest as streams
-from .base import GRADED, graded_chunks, query, rounded, table
+from .base import GRADED, graded_chunks, query, rounded, table, working_folder
 
 
 @query("graded_rollup", f"""WITH {GRADED}, t AS (SELECT *, row_number() OVER (PARTITION BY code_number, pdf_path, criterion ORDER BY agreement DESC, chunk_idx) AS r FROM g)
@@ -22,7 +22,7 @@ def graded_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("newest_judge_wins", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def newest_judge_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judging.newest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    rows = judging.newest(table(spark, sf_dir, "events"), ["user_id", "event_type"], [judging.descending(F.col("ts")), -F.col("event_id")])
     return rows.select("user_id", "event_type", "event_id", "value")
 
 
@@ -60,10 +60,10 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.weighted_median(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"])
 
 
-@query("rowwise_aggregates", """WITH p AS (SELECT user_id, max(value) FILTER (event_type = 'view') AS a, max(value) FILTER (event_type = 'click') AS b, max(value) FILTER (event_type = 'signup') AS c FROM events WHERE event_id % 3 <> 0 GROUP BY ALL),
+@query("rowwise_aggregates", """WITH p AS (SELECT user_id, max(value) FILTER (event_type = 'view') AS a, max(value) FILTER (event_type = 'click') AS b, max(value) FILTER (event_type = 'signup') AS c FROM events GROUP BY ALL),
 l AS (SELECT user_id, list_filter([a, b, c], lambda x: x IS NOT NULL) AS v FROM p) SELECT user_id, round(list_avg(v), 5) + 0.0 AS mean, round(list_median(v), 5) + 0.0 AS median, list_min(v) AS min FROM l""")
 def rowwise_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 3 <> 0")
+    e = table(spark, sf_dir, "events")
     wide = e.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in ("view", "click", "signup")])
     values = F.array("view", "click", "signup")
     return wide.select("user_id", rounded(stats.row_aggregate(values, "mean")).alias("mean"), rounded(stats.row_aggregate(values, "median")).alias("median"), stats.row_aggregate(values, "min").alias("min"))
@@ -158,11 +158,11 @@ def merge_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge(c, new, ["BUILDING", "MACHINERY"])
 
 
-@query("upsert_rows", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 0
-UNION ALL SELECT o_orderkey, 'X', CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_totalprice END FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 = 0""")
+@query("upsert_rows", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0) THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders""")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders not divisible by 5 are there; those divisible by 3 or 5 come, some of them anew."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    new = o.where("o_orderkey % 3 = 0 or o_orderkey % 5 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 != 0, F.col("o_totalprice")).alias("o_totalprice"))
     return store.upsert(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"])
 
 
@@ -232,9 +232,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_resume", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream over events, each (user, type) once, into Parquet in the shared folder; run twice, as after a stop."""
-    import uuid
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/corpusmill").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = working_folder(spark, "stream")
     like = table(spark, sf_dir, "events")
 
     def sink(batch: DataFrame) -> None:

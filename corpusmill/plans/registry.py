@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import judged, scored, textual
+from . import judged, replies, reports, scored, textual
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "judged", "scored", "textual"]
+__all__ = ["ORACLES", "QUERIES", "judged", "replies", "reports", "scored", "textual"]

@@ -6,6 +6,8 @@ one it reads and moves the pointer last, so readers and failed writers never mee
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import time
 import uuid
@@ -17,6 +19,33 @@ from pyspark.sql import functions as F
 from ..schemas import TABLES
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; it is removed when the driver ends.
+
+    Only a session on one machine has a default for that folder; on a cluster executors would not see each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints/corpusmill"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    atexit.register(remove)
+    return path
+
+
+def zeroed_with_quote(cells: DataFrame, judges: list[str]) -> DataFrame:
+    """Cells of some judges whose agreement is 0 although they quote something, in order of their keys."""
+    order = [c for c in ("code_number", "pdf_path", "criterion", "chunk_idx", "model") if c in cells.columns]
+    return cells.where((F.col("agreement") == 0) & (F.trim("evidence_quote") != "") & F.col("model").isin(judges)).orderBy(*order)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
     """K3-K9: rows of ``source`` overwrite (nulls too) or extend those of ``target``.
 
