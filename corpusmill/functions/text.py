@@ -78,12 +78,13 @@ def self_reference(path: Column, hosts: list[str]) -> Column:
 
 def looks_like_pdf(head: Column, content_type: Column) -> Column:
     """by its first bytes or its declared type."""
-    return F.coalesce(F.substring(head, 1, 5) == F.lit(b"%PDF-"), F.lit(False)) | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False))
+    return F.coalesce(F.substring(head, 1, 4) == F.lit(b"%PDF"), F.lit(False)) | F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False))
 
 
 def looks_like_html(head: Column, content_type: Column) -> Column:
-    start = F.lower(F.ltrim(F.decode(F.substring(head, 1, 256), "iso-8859-1")))
-    return F.coalesce(start.startswith("<!doctype html") | start.startswith("<html"), F.lit(False)) | F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False))
+    """by its declared type, or by how its first 256 bytes begin or a head among them."""
+    start = F.lower(F.regexp_replace(F.decode(F.substring(head, 1, 256), "iso-8859-1"), r"^[ \t\n\r\x0b\f]+", ""))
+    return F.coalesce(start.startswith("<!doctype") | start.startswith("<html") | start.contains("<head"), F.lit(False)) | F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
 
 
 def citation_link(html: Column) -> Column:

@@ -19,7 +19,7 @@ def _rows(df: DataFrame, polarity: str, tier: str, source: str, evidence: Column
 
 def anchor_papers(papers: DataFrame, names: DataFrame, pattern: str = ANCHOR_NAME) -> DataFrame:
     """papers of the codes whose names match."""
-    return papers.join(F.broadcast(names.where(F.col("code_name").rlike(pattern)).select("code_number")), "code_number", "left_semi")
+    return papers.join(names.where(F.col("code_name").rlike(pattern)).select("code_number"), "code_number", "left_semi")
 
 
 def molecular_codes(papers: DataFrame, dominants: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def molecular_codes(papers: DataFrame, dominants: DataFrame, allowed: DataFrame)
     joined = papers.where("code_number <> 0").join(dominants.select("pdf_path", "topic_id"), "pdf_path", "left")
     counts = papers.groupBy("code_number").agg(F.count(F.lit(1)).alias("n_papers"))
     topic = modal(joined, ["code_number"], "topic_id", "topic_id")
-    return topic.join(F.broadcast(allowed.select("topic_id").distinct()), "topic_id", "left_semi").join(counts, "code_number").select("code_number", "topic_id", "n_papers")
+    return topic.join(allowed.select("topic_id").distinct(), "topic_id", "left_semi").join(counts, "code_number").select("code_number", "topic_id", "n_papers")
 
 
 def tier2_positives(papers: DataFrame, molecular: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each paper of a molecular code."""
-    rows = papers.join(molecular, "code_number").join(names, "code_number", "left").join(F.broadcast(labels), "topic_id", "left")
+    rows = papers.join(molecular, "code_number").join(names, "code_number", "left").join(labels, "topic_id", "left")
     evidence = F.concat_ws(" ", F.lit("molecular:"), F.coalesce("code_name", F.lit("")), F.lit("; topic"), F.col("topic_id").cast("string"), F.coalesce("label", F.lit("")))
     return _rows(rows, "pos", "2", "db", evidence)
 
@@ -46,8 +46,8 @@ def implicit_negatives(papers: DataFrame, dominants: DataFrame, allowed: DataFra
     """Papers with a dominant topic that is not allowed, of no molecular code, not code 0 and not labelled before."""
     members = papers.join(molecular, "code_number", "left_semi").select("pdf_path")
     rows = papers.where("code_number <> 0").join(members.unionByName(labelled.select("pdf_path")).distinct(), "pdf_path", "left_anti")
-    rows = rows.join(dominants.select("pdf_path", "topic_id").where("topic_id is not null"), "pdf_path").join(F.broadcast(allowed.select("topic_id")), "topic_id", "left_anti")
-    rows = rows.join(F.broadcast(labels.select("topic_id", "label")), "topic_id", "left")
+    rows = rows.join(dominants.select("pdf_path", "topic_id").where("topic_id is not null"), "pdf_path").join(allowed.select("topic_id"), "topic_id", "left_anti")
+    rows = rows.join(labels.select("topic_id", "label"), "topic_id", "left")
     topic = F.col("topic_id").cast("string")
     return _rows(rows, "neg", "soft", "implicit", F.concat_ws(" ", F.lit("non-molecular: topic"), topic, F.coalesce("label", topic)))
 
@@ -64,7 +64,7 @@ def promoted(gold: DataFrame, names: DataFrame, cited: DataFrame) -> DataFrame:
     """Tier-2 positives whose paper is cited become tier 1; rows promoted before are left as they are."""
     signed = names.select("pdf_path", signature(F.col("paper_name")).alias("__s")).where("__s is not null").dropDuplicates(["pdf_path"])
     signed = signed.select("pdf_path", F.col("__s.surname").alias("__n"), F.col("__s.year").alias("__y"))
-    known = F.broadcast(cited.select(F.col("surname").alias("__n"), F.col("year").alias("__y"), F.lit(True).alias("__cited")).distinct())
+    known = cited.select(F.col("surname").alias("__n"), F.col("year").alias("__y"), F.lit(True).alias("__cited")).distinct()
     rows = gold.join(signed, "pdf_path", "left").join(known, ["__n", "__y"], "left")
     rises = (F.col("source") == "db") & (F.col("polarity") == "pos") & F.coalesce("__cited", F.lit(False))
     note = F.concat_ws(" | ", F.when(F.coalesce("evidence", F.lit("")) != "", F.col("evidence")), F.concat_ws(" ", F.lit("cited:"), F.col("__n"), F.col("__y")))
@@ -118,6 +118,11 @@ def select_phase(gold: DataFrame, papers: DataFrame, dominants: DataFrame, allow
     return merge(gold, rows, ["db", "code0"])
 
 
+def cite_phase(gold: DataFrame, names: DataFrame, docs: DataFrame, key: str = "pdf_path", text: str = "text") -> DataFrame:
+    """The citing phase: tier-2 positives that the reference sections of ``docs`` cite become tier 1, of source ``cite``."""
+    return promoted(gold, names, cited_signatures(docs, key, text))
+
+
 def implicit_phase(gold: DataFrame, papers: DataFrame, dominants: DataFrame, allowed: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the implicit phase, which owns the source ``implicit``."""
     molecular = molecular_codes(papers, dominants, allowed)

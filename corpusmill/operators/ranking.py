@@ -96,7 +96,7 @@ def topic_rho(report: DataFrame, dominants: DataFrame, min_n: int = 10) -> DataF
     """The same by dominant topic, for topics with ``min_n`` papers that have any verdict; the largest first."""
     rows = report.where("verdict is not null").join(dominants.select("pdf_path", "topic_id"), "pdf_path")
     sizes = rows.groupBy("topic_id").agg(F.count_distinct("pdf_path").alias("n_papers")).where(F.col("n_papers") >= min_n)
-    rows = rows.join(F.broadcast(sizes), "topic_id").withColumn("__o", verdict_ordinal(F.col("verdict")))
+    rows = rows.join(sizes, "topic_id").withColumn("__o", verdict_ordinal(F.col("verdict")))
     return stats.spearman(rows, "e", "__o", ["topic_id", "n_papers", "criterion", "method"]).orderBy(F.desc("n_papers"), "topic_id", "criterion", "method")
 
 

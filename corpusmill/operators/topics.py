@@ -63,13 +63,13 @@ def top_topics(dominants: DataFrame, n: int) -> DataFrame:
 def in_strata(dominants: DataFrame, n: int, rest: bool = False) -> DataFrame:
     """Papers whose dominant topic is among the top ``n``, or with ``rest`` is not; papers without one are in neither."""
     top = top_topics(dominants, n).select("topic_id")
-    return dominants.where("topic_id is not null").join(F.broadcast(top), "topic_id", "left_anti" if rest else "left_semi")
+    return dominants.where("topic_id is not null").join(top, "topic_id", "left_anti" if rest else "left_semi")
 
 
 def paper_topics(chunk_topics: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """Labels of a paper's topics: the dominant one first, the others by votes, affinity and id."""
     top = dominant(chunk_topics, keys).select(*keys, F.col("topic_id").alias("__d"))
-    rows = affinities(chunk_topics, keys).join(top, keys).join(F.broadcast(labels.select("topic_id", "label")), "topic_id", "left")
+    rows = affinities(chunk_topics, keys).join(top, keys).join(labels.select("topic_id", "label"), "topic_id", "left")
     label = F.coalesce(F.col("label"), F.concat(F.lit("topic "), F.col("topic_id").cast("string")))
     order = F.struct((F.col("topic_id") != F.col("__d")).alias("o"), (-F.col("n_chunks")).alias("c"), (-F.col("affinity")).alias("a"), "topic_id", label.alias("l"))
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("t")).select(*keys, F.col("t.l").alias("topics"))

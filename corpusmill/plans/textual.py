@@ -117,9 +117,3 @@ def conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
     gathered = rows.groupBy("conv_id", "run", "role").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     return gathered.select("conv_id", "run", "role", "n_turns", F.md5(F.array_join("l.text", " ")).alias("text_md5"))
-
-
-@query("reference_entries", """WITH l AS (SELECT conv_id, turn, trim(text) AS t, CASE WHEN regexp_matches(trim(text), '^[A-Z]') THEN 1 ELSE 0 END AS s FROM conversations) SELECT conv_id, count(*) AS lines, sum(s)::BIGINT AS capitalised FROM l GROUP BY ALL""")
-def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("t", F.trim("text"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("t").rlike("^[A-Z]")).alias("capitalised"))

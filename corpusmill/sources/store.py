@@ -68,6 +68,13 @@ def delete_keys(target: DataFrame, dead: DataFrame, keys: list[str]) -> DataFram
     return target.join(dead.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
 
 
+def gold_by_key(gold: DataFrame) -> DataFrame:
+    """One label for each (code, path, criterion): of both polarities ``pos`` counts, which the order of the two says."""
+    keys = ["code_number", "pdf_path", "criterion"]
+    rest = [c for c in gold.columns if c not in (*keys, "polarity")]
+    return gold.groupBy(*keys).agg(F.max(F.struct("polarity", *rest)).alias("g")).select(*[F.col(c) if c in keys else F.col(f"g.{c}").alias(c) for c in gold.columns])
+
+
 class Store:
     """Tables under a folder that all machines share."""
 
