@@ -122,6 +122,10 @@ def plan(histogram: DataFrame, wanted: DataFrame, most: int = 3) -> DataFrame:
     return both.groupBy("source").applyInPandas(solve, "source string, size long, n long, source_size long, target double, passes long, extra long")
 
 
+def seeded(seed: int) -> Column:
+    return F.xxhash64("doc_id", "tie", F.lit(seed))
+
+
 def shares(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = 3, group: int = 512) -> DataFrame:
     """``sizes(doc_id, source, size, tie)``, each distinct row once, with ``n`` (how often it is there), ``source_size``,
     ``target``, ``passes`` (how often the mix takes each of the n) and ``again`` (how many of the n it takes once more).
@@ -138,7 +142,7 @@ def shares(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
     named = lambda df, p: df.withColumnsRenamed({"source": f"{p}_source", "size": f"{p}_size"})
     known = named(chosen.drop("n"), "p").join(named(histogram.drop("n"), "h"), same("p", "h")).drop("h_source", "h_size")
     rows = sizes.join(known, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "tie", F.lit(seed))).withColumn("salt", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("rows") / group))).cast("long"))
+    rows = rows.withColumn("h", seeded(seed)).withColumn("salt", F.pmod(F.col("h"), F.greatest(F.lit(1), F.ceil(F.col("rows") / group))).cast("long"))
     parts = rows.where(F.col("rows") > group).groupBy("source", "size", "salt").agg(F.sum("n").alias("in_part"))
     earlier = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = named(parts.withColumn("ahead", F.coalesce(F.sum("in_part").over(earlier), F.lit(0))), "q").select("q_source", "q_size", F.col("salt").alias("q_salt"), "ahead")
@@ -146,7 +150,7 @@ def shares(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
     ranked = rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     ranked = ranked.join(parts, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size")) & (F.col("salt") == F.col("q_salt")), "left")
     again = F.least(F.col("n"), F.greatest(F.lit(0), F.col("extra") - F.col("before") - F.coalesce("ahead", F.lit(0))))
-    return ranked.select("doc_id", "source", "size", "tie", "n", "source_size", "target", "passes", again.alias("again"))
+    return ranked.select("doc_id", "source", "size", "tie", "h", "n", "source_size", "target", "passes", again.alias("again"))
 
 
 def mix(sizes: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = 3, group: int = 512) -> DataFrame:
@@ -168,15 +172,20 @@ def digest(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
-    Rows without words are not taken. Rows that are equal in all columns become one, which comes as often as all of them
-    are taken. Rows and their shares are met by a hash of the columns; names of columns cannot clash.
+    Rows without words are not taken. What is taken once more of a source and a length are the rows before one place in the
+    seeded order; rows meet that place (one a source and length) and decide by themselves, so no text is shuffled where
+    the places fit into a broadcast. At the place itself there may be rows that are equal in all columns, of which some are
+    taken; they become one that comes as often. Names of columns cannot clash.
     """
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*hashable(docs)).alias("tie"), F.struct("*").alias("row"))
-    taken = shares(keyed.select("doc_id", "source", "size", "tie"), seed).withColumn("copies", F.col("passes") * F.col("n") + F.col("again")).where("copies > 0 and size > 0")
-    taken = staged(taken.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), "tie", "n", "copies"), "taken")
-    rows = keyed.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), "tie", "row")
-    out = rows.join(taken.where("n = 1").drop("n"), ["did", "tie"])
-    repeated = taken.where("n > 1").drop("n")
-    if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, ["did", "tie"]).dropDuplicates(["did", "tie"]))
-    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    place = F.struct("h", F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*hashable(docs)).alias("tie"), F.struct("*").alias("row")).where("size > 0")
+    plan = shares(keyed.select("doc_id", "source", "size", "tie"), seed).groupBy(F.col("source").alias("p_source"), F.col("size").alias("p_size"))
+    plan = staged(plan.agg(F.max("passes").alias("passes"), F.max(F.when(F.col("again") > 0, F.struct(place.alias("at"), "again", "n"))).alias("last")), "places")
+    rows = keyed.withColumn("h", seeded(seed)).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    rows = rows.select("row", "tie", place.alias("at"), "passes", "last")
+    whole = (F.col("at") < F.col("last.at")) | ((F.col("at") == F.col("last.at")) & (F.col("last.again") == F.col("last.n")))
+    out = rows.select("row", (F.col("passes") + F.coalesce(whole.cast("long"), F.lit(0))).alias("copies"))
+    if not plan.where("last.again < last.n").isEmpty():
+        split = rows.where((F.col("at") == F.col("last.at")) & (F.col("last.again") < F.col("last.n"))).dropDuplicates(["at"])
+        out = out.unionByName(split.select("row", F.col("last.again").alias("copies")))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
