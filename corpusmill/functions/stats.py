@@ -1,4 +1,8 @@
-"""Rank statistics, confusion counts and distributions, always by group so that no rank needs all rows in one task."""
+"""Rank statistics, confusion counts and distributions.
+
+Ranks are prefix sums over distinct values, made in ranges of the values and put in order by the ranges' totals, so that
+neither a large group nor a single one is ever ordered in one task.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +12,45 @@ from pyspark.sql import functions as F
 LEVELS = (-1.0, -0.5, 0.0, 0.5, 1.0)
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """1-based ranks by group, ties sharing their mean.
+#: Ranges of values for each shuffle partition, and the most there are.
+RANGES, MOST_RANGES = 2, 1024
+
+
+def in_ranges(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the range that a value lies in, of a number of ranges of about equally many rows over all groups; their
+    bounds are one scalar subquery. Nulls are in the first range, NaN in the last."""
+    n = min(MOST_RANGES, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fractions = F.array(*[F.lit(i / n) for i in range(1, n)])
+    bounds = df.agg(F.array_distinct(F.percentile_approx(F.col(value), fractions, F.lit(max(10_000, 4 * n)))).alias("bounds"))
+    with_bounds = df.withColumn("__bounds", bounds.scalar())
+    return with_bounds.withColumn(name, F.coalesce(F.size(F.filter("__bounds", lambda b: b < F.col(value))), F.lit(0))).drop("__bounds")
+
+
+def _same(left: str, right: str, names: list[str]) -> Column:
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
+    return out
 
-    Ranks come from counts of distinct values, so ties of any number are one row in the window.
+
+def prefix_sums(counts: DataFrame, by: list[str], value: str, amount: str, name: str) -> DataFrame:
+    """``counts``, one row for each value of a group, with the sum of ``amount`` over the group's smaller values.
+
+    Sums inside a range are a window over that range; the ranges' totals, few rows a group, say what comes before it.
     """
+    parts = in_ranges(counts, value, "__range")
+    inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*by, "__range").agg(F.sum(amount).alias("__total")).withColumn("__ahead", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    both = parts.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))).alias("l").join(totals.alias("r"), _same("l", "r", [*by, "__range"]))
+    return both.select(*[F.col(f"l.{c}") for c in counts.columns], (F.col("l.__inside") + F.col("r.__ahead")).alias(name))
+
+
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """1-based ranks by group, ties sharing their mean; ties of any number are one row until the end."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2)
-    keys = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, value]]
-    condition = keys[0]
-    for k in keys[1:]:
-        condition = condition & k
-    return df.alias("l").join(ranks.alias("r"), condition).select("l.*", f"r.{name}")
+    ranks = prefix_sums(counts, by, value, "__n", "__before").withColumn(name, F.col("__before") + (F.col("__n") + 1) / 2)
+    return df.alias("l").join(ranks.alias("r"), _same("l", "r", [*by, value])).select("l.*", f"r.{name}")
 
 
 def pearson(x: str, y: str) -> Column:
@@ -95,15 +125,14 @@ def weighted_median(df: DataFrame, value: str, weight: str, by: list[str]) -> Da
 
     Equal values are one row before the running sum. "On half" is within 1e-8 + 1e-5 * half.
     """
-    summed = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(weight).cast("double")).alias("__w"), F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*by).orderBy(value)
-    half = F.sum("__w").over(Window.partitionBy(*by)) / 2
-    run = summed.withColumn("__half", half).withColumn("__cum", F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.lead(value).over(order))
-    on_half = (F.abs(F.col("__cum") - F.col("__half")) <= 1e-8 + 1e-5 * F.abs(F.col("__half"))) & F.col("__next").isNotNull()
-    reached = run.where((F.col("__cum") >= F.col("__half")) | on_half)
-    picked = F.min(F.struct(F.col(value).alias("v"), F.when((F.col("__cum") >= F.col("__half")) & on_half, (F.col(value) + F.col("__next")) / 2).otherwise(F.col(value).cast("double")).alias("m")))
-    reached = reached.where(F.col("__cum") >= F.col("__half"))
-    return reached.groupBy(*by).agg(picked["m"].alias("weighted_median"))
+    summed = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(weight).cast("double")).alias("__w"))
+    halves = summed.groupBy(*by).agg((F.sum("__w") / 2).alias("__half"))
+    run = prefix_sums(summed, by, value, "__w", "__before").alias("l").join(halves.alias("r"), _same("l", "r", by))
+    run = run.select(*[F.col(f"l.{c}") for c in by], F.col(f"l.{value}").alias("v"), (F.col("l.__before") + F.col("l.__w")).alias("cum"), F.col("l.__before").alias("before"), F.col("r.__half").alias("half"))
+    first = F.min(F.when(F.col("cum") >= F.col("half"), F.struct("v", "cum", "half")))
+    out = run.groupBy(*by).agg(first.alias("f"), F.min(F.when(F.col("before") >= F.col("half") * (1 - 1e-12), F.col("v"))).alias("next"))
+    on_half = (F.abs(F.col("f.cum") - F.col("f.half")) <= 1e-8 + 1e-5 * F.abs(F.col("f.half"))) & (F.col("next") > F.col("f.v"))
+    return out.select(*by, F.when(on_half, (F.col("f.v") + F.col("next")) / 2).otherwise(F.col("f.v").cast("double")).alias("weighted_median"))
 
 
 def row_aggregate(values: Column, metric: str) -> Column:

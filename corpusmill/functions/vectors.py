@@ -65,7 +65,7 @@ def _less(v: Column, along: Column) -> Callable[[Column], Column]:
 
 
 def without_subspace(v: Column, basis: np.ndarray) -> Column:
-    """V7: ``v`` less its part in the span of the orthonormal rows of ``basis`` (few rows, as literals)."""
+    """V7: ``v`` less its part in the span of the orthonormal rows of ``basis`` (few rows, each one constant)."""
 
     def removed(w: Column) -> Column:
         out = w
@@ -77,36 +77,89 @@ def without_subspace(v: Column, basis: np.ndarray) -> Column:
 
 
 def literal(v: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    """A vector as one constant, whatever its dimension: the cast is folded when the plan is made."""
+    return F.split(F.lit(",".join(map(repr, np.asarray(v, float).tolist()))), ",").cast("array<double>")
+
+
+def rows_of(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a list array hold a vector, and these as a matrix; they have one dimension."""
+    there = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+    held = v.take(pa.array(there))
+    values = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return there, values.reshape(len(there), len(values) // max(1, len(there)))
 
 
 def mean_vector(df: DataFrame, vec: str, by: list[str]) -> DataFrame:
-    """A2: component-wise mean by group as ``(by.., mean)``; partial sums are made where the rows are."""
-    parts = df.select(*by, F.posexplode(wide(vec)).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"))
+    """A2: component-wise mean by group as ``(by.., mean)``, without null components.
+
+    A task adds up its vectors by group and gives out one row of sums a group (more often where it meets over 4096), so
+    single components travel once a task and not once a vector.
+    """
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema]
+    names = [*by, "sums", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def flushed(kinds: pa.Schema) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], kinds.field(i).type) for i in range(len(by))]
+            sums, counts = ([x[j] for x in held.values()] for j in (0, 1))
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64()))], names)
+            held.clear()
+            return out
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(by))), strict=True) if by else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(i)
+            for key, at in groups.items():
+                _, x = rows_of(batch.column(len(by)).take(pa.array(at)))
+                if x.size:
+                    known = ~np.isnan(x)
+                    add = [np.where(known, x, 0.0).sum(axis=0), known.sum(axis=0)]
+                    held[key] = [a + b for a, b in zip(held[key], add, strict=True)] if key in held else add
+            if len(held) > 4096:
+                yield flushed(schema)
+        if held:
+            yield flushed(schema)
+
+    partial = df.select(*by, wide(vec).alias("v")).mapInArrow(run, ", ".join([*keys, "sums array<double>", "counts array<long>"]))
+    parts = partial.select(*by, F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "x")).groupBy(*by, "i").agg(F.try_divide(F.sum("x.sums"), F.sum("x.counts")).alias("x"))
     gathered = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
-    return gathered.select(*by, F.col("m.x").alias("mean"))
+    return gathered.where(F.size("m") > 0).select(*by, F.col("m.x").alias("mean"))
 
 
-def moments(df: DataFrame, vec: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and Gram matrix of a column of vectors: one small row from each task, added on the driver (V6)."""
+def added(df: DataFrame, vec: str, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over all vectors of ``part(rows)``, an array that is small and of one shape; None without vectors.
+
+    Tasks add up their batches, about the square root of their number adds up what these give, and the driver the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, gram = 0, None, None
+        total = None
+        for batch in batches:
+            _, x = rows_of(batch.column(0))
+            if x.size:
+                total = part(x) if total is None else total + part(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total, np.float64).tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["sum", "shape"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shape = None, None
         for batch in batches:
-            rows = [r for r in batch.column(0).to_pylist() if r]
-            if rows:
-                x = np.array(rows, np.float64)
-                total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
-                gram = x.T @ x if gram is None else gram + x.T @ x
-                n += len(x)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([gram.ravel().tolist()])], ["n", "total", "gram"])
-
-    rows = df.select(wide(vec).alias("v")).mapInArrow(run, "n long, total array<double>, gram array<double>").collect()
-    if not rows:
-        return 0, np.zeros(0), np.zeros((0, 0))
-    d = len(rows[0]["total"])
-    return sum(r["n"] for r in rows), np.sum([r["total"] for r in rows], axis=0), np.sum([r["gram"] for r in rows], axis=0).reshape(d, d)
+            for data, shape in zip(batch.column(0), batch.column(1), strict=True):  # noqa: B007
+                x = np.frombuffer(data.as_buffer(), np.float64)
+                total = x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([shape.as_py()], pa.list_(pa.int32()))], ["sum", "shape"])
+
+    kind = "sum binary, shape array<int>"
+    parts = df.select(wide(vec).alias("v")).mapInArrow(run, kind)
+    few = max(1, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    rows = parts.repartition(few).mapInArrow(again, kind).collect()
+    return sum(np.frombuffer(r["sum"], np.float64).reshape(r["shape"]) for r in rows) if rows else None
 
 
 @F.pandas_udf(T.BinaryType())

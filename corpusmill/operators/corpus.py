@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__r", rank).where("__r = 1").drop("__r")
+def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of each key the row with the least values of ``order``; an aggregate with map-side combine, so no key is gathered.
+
+    Rows that tie in the order are told apart by their other columns, the least first.
+    """
+    return _picked(df, key, F.min, order)
 
 
 def last_by(df: DataFrame, key: list[str], position: str) -> DataFrame:
     """The last row of each key, as where later rows overwrite earlier ones."""
-    return first_by(df, key, [F.desc(position)])
+    return _picked(df, key, F.max, [position])
+
+
+def _picked(df: DataFrame, key: list[str], pick: Callable[[Column], Column], order: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in (*key, *order)]
+    best = df.groupBy(*key).agg(pick(F.struct(*order, *rest)).alias("picked"))
+    return best.select(*[F.col(c) if c in key else F.col("picked").getField(c).alias(c) for c in df.columns])
 
 
 def pool(citations: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,11 +87,10 @@ def rows_to_append(manifest: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def download_counts(rows: DataFrame) -> DataFrame:
-    """Unique, duplicate, downloaded and failed rows of ``rows(path, position, ok)``."""
-    first = F.row_number().over(Window.partitionBy("path").orderBy("position")) == 1
-    flagged = rows.withColumn("__f", first)
-    return flagged.agg(
-        F.count_if("__f").alias("unique"), F.count_if(~F.col("__f")).alias("duplicate"), F.count_if(F.col("__f") & F.col("ok")).alias("downloaded"), F.count_if(F.col("__f") & ~F.col("ok")).alias("failed")
+    """Unique, duplicate, downloaded and failed rows of ``rows(path, position, ok)``; the first of a path counts."""
+    paths = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("position", "ok")).alias("first"))
+    return paths.agg(
+        F.count(F.lit(1)).alias("unique"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate"), F.count_if("first.ok").alias("downloaded"), F.count_if(~F.col("first.ok")).alias("failed")
     )
 
 

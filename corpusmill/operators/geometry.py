@@ -56,26 +56,52 @@ class Geometry:
         """V3, V7, V1: centred, without the subspace, of unit length."""
         return V.unit(V.without_subspace(V.minus(vec, V.literal(self.mu)), self.basis))
 
+    def project_rows(self, x: np.ndarray) -> np.ndarray:
+        """The same for the rows of a matrix."""
+        d = np.asarray(x, float) - self.mu
+        d = d - (d @ self.basis.T) @ self.basis
+        return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), V.FLOOR)
+
     def project_array(self, v: np.ndarray) -> np.ndarray:
-        d = np.asarray(v, float) - self.mu
-        return l2(d - (d @ self.basis.T) @ self.basis if len(self.basis) else d)
+        return self.project_rows(np.asarray(v, float)[None])[0]
 
     def score(self, vec: Column, criterion: str) -> Column:
         """V5 in this geometry."""
         return V.dot(self.project(vec), V.literal(self.axes[criterion]))
 
 
+#: Dimensions up to which principal axes come from one Gram matrix; beyond, from repeated passes with few columns.
+GRAM, PASSES = 512, 40
+
+
 def principal_axes(reps: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A2 and V6: mean and top-``k`` principal axes, from a Gram matrix that tasks add up; no axes for k <= 0."""
-    n, total, gram = V.moments(reps, "vec")
-    if not n:
+    """A2 and V6: mean and top-``k`` principal axes; no axes and no matrix for k <= 0.
+
+    Up to GRAM dimensions tasks add up the centred Gram matrix. Beyond it only its products with k + 8 columns are made,
+    in passes that turn these columns towards the axes until they stand still.
+    """
+    means = V.mean_vector(reps, "vec", []).collect()
+    if not means or not means[0]["mean"]:
         raise ValueError("no vectors to fit a geometry on")
-    mu = total / n
-    k = max(0, min(k, n, len(mu)))
-    if not k:
+    mu = np.array(means[0]["mean"])
+    if k <= 0:
         return mu, np.zeros((0, len(mu)))
-    values, axes = np.linalg.eigh(gram - n * np.outer(mu, mu))
-    return mu, axes[:, np.argsort(values)[::-1][:k]].T
+    if len(mu) <= GRAM:
+        gram = V.added(reps, "vec", lambda x: (x - mu).T @ (x - mu))
+        n, values, axes = reps.count(), *np.linalg.eigh(gram)
+        return mu, axes[:, np.argsort(values)[::-1][: min(k, n, len(mu))]].T
+    n = reps.count()
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(len(mu), min(k + 8, len(mu)))))[0]
+    for _ in range(PASSES):
+        product = V.added(reps, "vec", lambda x, b=basis: (x - mu).T @ ((x - mu) @ b))
+        turned = np.linalg.qr(product)[0]
+        inner = np.linalg.svd(turned.T @ product)[0]
+        turned = turned @ inner
+        still = np.abs(np.abs((turned[:, :k] * basis[:, :k]).sum(axis=0)) - 1).max() < 1e-12
+        basis = turned
+        if still:
+            break
+    return mu, basis[:, : min(k, n)].T
 
 
 def shared_direction(axes: list[np.ndarray]) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import json_object
 from ..schemas import CRITERIA, VERDICTS
@@ -147,30 +148,50 @@ def chunk_records(parsed: DataFrame, prompt_hash: Column) -> DataFrame:
     )
 
 
-def judge(work: DataFrame, complete: Callable[[str, str], str], parallel: int | None = None) -> DataFrame:
+def judge(work: DataFrame, complete: Callable[[str, str], str], parallel: int | None = None, workers: int = 6) -> DataFrame:
     """``work(system, prompt, ...)`` with the reply of an injected ``complete(system, prompt)`` in ``raw``.
 
-    A call that fails leaves its reason in ``call_error`` and does not touch other rows. ``parallel`` spreads the calls
-    over that many partitions. The callable is sent to the executors and has to be picklable.
+    A task makes ``workers`` calls at once, and ``parallel`` spreads rows over that many tasks. A call that fails leaves its
+    reason in ``call_error`` and does not touch other rows. The callable is sent to the executors and has to be picklable.
     """
     names = list(work.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw, errors = [], []
-            for system, prompt in zip(pdf["system"], pdf["prompt"], strict=True):
-                try:
-                    raw.append(complete(system, prompt))
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001  whatever the injected callable raises belongs to its row
-                    raw.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield pdf[names].assign(raw=raw, call_error=errors)
+        from concurrent.futures import ThreadPoolExecutor
+
+        def call(system: str, prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return complete(system, prompt), None
+            except Exception as error:  # noqa: BLE001  whatever the injected callable raises belongs to its row
+                return None, f"{type(error).__name__}: {error}"
+
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                answers = list(pool.map(call, pdf["system"], pdf["prompt"]))
+                yield pdf[names].assign(raw=[a for a, _ in answers], call_error=[e for _, e in answers])
 
     rows = work.repartition(parallel) if parallel else work
     return rows.mapInPandas(run, f"{work.schema.simpleString()[7:-1]}, raw string, call_error string")
 
 
+def judge_and_keep(work: DataFrame, path: str, keys: list[str], complete: Callable[[str, str], str], rounds: int = 8, parallel: int | None = None, workers: int = 6) -> DataFrame:
+    """Z2 with a checkpoint: replies to cells that ``path`` does not have yet are appended there, and all of it is returned.
+
+    Cells are dealt by their keys into ``rounds``; each is written when it ends, so what a stopped run finished is kept and
+    the next run goes on with the rest. Calls that failed are not written and come again then.
+    """
+    spark = work.sparkSession
+    kind = T.StructType([*work.schema.fields, T.StructField("raw", T.StringType())])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i in range(rounds):
+        todo = work.where(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == i)
+        if fs.exists(hadoop):
+            todo = todo.join(spark.read.schema(kind).json(path).select(*keys).distinct(), keys, "left_anti").select(*work.columns)
+        judge(todo, complete, parallel, workers).where("call_error is null").drop("call_error").write.mode("append").json(path)
+    return spark.read.schema(kind).json(path)
+
+
 def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
     """``texts`` with the vectors of an injected encoder in ``vec``."""
 

@@ -95,12 +95,20 @@ def recompute_run(store: Store, is_self: Column, k: int, strength: float, run_ts
     store.upsert("run_meta", settings)
 
 
-def ranking_page(records: DataFrame, title: str, limit: int = 5000) -> str:
-    """A page that filters and sorts the ranking in the browser; ranks and values come with it."""
+def ranking_page(records: DataFrame, title: str, limit: int | None = 5000) -> str:
+    """A page that filters and sorts the ranking in the browser; ranks and values come with it.
+
+    A page holds the first ``limit`` papers by code and path and says how many there are; None has all of them. The
+    ranking of a whole corpus is ``ranking.ranked``, as a table.
+    """
     names = ["code_number", "code_name", "paper_name", "pdf_path", "topics", *[f"{s}_{c}" for s in "eo" for c in CRITERIA]]
     have = [n for n in names if n in records.columns]
-    data = json.dumps([r.asDict() for r in records.select(*have).limit(limit).collect()]).replace("</", "<\\/")
-    return f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>
+    rows = records.select(*have).orderBy(*[n for n in ("code_number", "pdf_path") if n in have])
+    shown = [r.asDict() for r in (rows if limit is None else rows.limit(limit)).collect()]
+    total = len(shown) if limit is None or len(shown) < limit else records.count()
+    note = "" if total == len(shown) else f"<p>The first {len(shown)} of {total} papers by code and path.</p>"
+    data = json.dumps(shown).replace("</", "<\\/")
+    return f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{note}
 <input id="q" placeholder="filter"> <select id="s"><option value="e">scores<option value="o">verdicts</select>
 <select id="m"><option>mean<option>median<option>min</select><table id="t"></table>
 <script>

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,31 +13,52 @@ from ..functions import vectors as V
 from .geometry import Geometry, paper_vectors
 
 
-def nearest(vec: Column, centroids: list[tuple[int, np.ndarray]]) -> Column:
-    """``struct(similarity, topic_id)`` of the centroid with the greatest dot product, the first among equals.
+#: Bytes of centroids that may go to every executor.
+MOST_BYTES = 1 << 28
+
+
+def nearest(vec: Column, centroids: list[tuple[int, np.ndarray]], prepare: Callable[[np.ndarray], np.ndarray] | None = None) -> Column:
+    """``struct(similarity, topic_id)`` of the centroid with the greatest dot product, the first among equals; nulls
+    for a null vector or without centroids. ``prepare`` turns the rows of a batch into what meets the centroids.
 
-    Centroids are a small dimension and stand in the expression, so rows are not multiplied.
+    Centroids go to the executors once, as a matrix of at most MOST_BYTES, and a batch of vectors meets them in one
+    product, so rows are not multiplied.
     """
+    ids = np.array([t for t, _ in centroids], np.int64)
+    matrix = np.array([c for _, c in centroids], np.float64)
+    if matrix.nbytes > MOST_BYTES:
+        raise ValueError(f"centroids take {matrix.nbytes} bytes, more than the {MOST_BYTES} that may be broadcast")
+
+    @F.arrow_udf("struct<similarity:double,topic_id:int>")
+    def best(v: pa.Array) -> pa.Array:
+        there, x = V.rows_of(v)
+        similarity, topic = np.zeros(len(v)), np.zeros(len(v), np.int32)
+        missing = np.ones(len(v), bool)
+        if len(there) and len(ids):
+            products = (prepare(x) if prepare else x) @ matrix.T
+            at = products.argmax(axis=1)
+            similarity[there], topic[there], missing[there] = products[np.arange(len(at)), at], ids[at], False
+        return pa.StructArray.from_arrays([pa.array(similarity, mask=missing), pa.array(topic, mask=missing)], ["similarity", "topic_id"])
+
+    return best(V.wide(vec))
 
-    def best_of(v: Column) -> Column:
-        return F.array_max(F.array(*[F.struct(V.dot(v, V.literal(c)).alias("similarity"), F.lit(-i).alias("place"), F.lit(t).alias("topic_id")) for i, (t, c) in enumerate(centroids)]))
 
-    best = V.let(V.wide(vec), best_of)
-    return F.struct(best["similarity"].alias("similarity"), best["topic_id"].alias("topic_id"))
+def collected(centroids: DataFrame, vec: str = "vec") -> list[tuple[int, np.ndarray]]:
+    """Centroids of a table on the driver, lowest topic first: one row a topic."""
+    return [(r["topic_id"], np.array(r["v"])) for r in centroids.select("topic_id", V.wide(vec).alias("v")).orderBy("topic_id").collect()]
 
 
 def nearest_by_join(rows: DataFrame, centroids: DataFrame, keys: list[str]) -> DataFrame:
-    """J10 for centroids in a table, ``centroids(topic_id, vec)``: one row a topic, met by a broadcast and reduced at once."""
-    pairs = rows.crossJoin(F.broadcast(centroids.select("topic_id", F.col("vec").alias("__c"))))
-    best = F.max(F.struct(V.dot(F.col("vec"), F.col("__c")).alias("s"), (-F.col("topic_id")).alias("t"))).alias("b")
-    return pairs.groupBy(*keys).agg(best).select(*keys, (-F.col("b.t")).alias("topic_id"), F.col("b.s").alias("similarity"))
+    """J10 for centroids in a table, ``centroids(topic_id, vec)``: ``(keys.., topic_id, similarity)``."""
+    best = nearest(F.col("vec"), collected(centroids)).alias("b")
+    return rows.select(*keys, best).select(*keys, "b.topic_id", "b.similarity").where("topic_id is not null")
 
 
 def assign(doc_vectors: DataFrame, centroids: DataFrame, geometry: Geometry, method: str = "chunk") -> DataFrame:
     """``(code_number, pdf_path, chunk_idx, topic_id, similarity)`` in the papers' geometry."""
-    known = [(r["topic_id"], geometry.project_array(np.array(r["v"]))) for r in centroids.select("topic_id", V.wide("vec").alias("v")).orderBy("topic_id").collect()]
-    rows = paper_vectors(doc_vectors, method).select("code_number", "pdf_path", "chunk_idx", geometry.project(F.col("vec")).alias("d"))
-    return rows.select("code_number", "pdf_path", "chunk_idx", nearest(F.col("d"), known).alias("n")).select("code_number", "pdf_path", "chunk_idx", "n.topic_id", "n.similarity")
+    known = [(t, geometry.project_array(v)) for t, v in collected(centroids)]
+    best = nearest(F.col("vec"), known, geometry.project_rows).alias("n")
+    return paper_vectors(doc_vectors, method).select("code_number", "pdf_path", "chunk_idx", best).select("code_number", "pdf_path", "chunk_idx", "n.topic_id", "n.similarity")
 
 
 def affinities(chunk_topics: DataFrame, keys: list[str]) -> DataFrame:

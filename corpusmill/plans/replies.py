@@ -15,7 +15,6 @@ from ..schemas import CRITERIA
 from ..sources import readers, store
 from .base import query, rounded, table, working_folder
 
-_ID = F.col("event_id")
 _KINDS = ("MET", "not_met", "unclear")
 _CRITERIA = "(VALUES (0, 'two_worlds'), (1, 'adaptors'), (2, 'arbitrariness')) AS c(i, criterion)"
 
@@ -46,13 +45,13 @@ r AS (SELECT event_id, criterion, error, CASE WHEN error IS NULL THEN ['met', 'n
 
 @query("parsed_verdicts", f"{_PARSED} SELECT event_id, criterion, error, verdict, CASE WHEN void THEN 0.0 ELSE (event_id % 10) / 10.0 END::DOUBLE AS confidence, CASE WHEN void THEN '' ELSE 'q' || event_id END AS evidence_quote, CASE WHEN void THEN '' ELSE 'because {{so}}' END AS reasoning FROM r".replace("{{so}}", "{so}"))
 def parsed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = table(spark, sf_dir, "events").select("event_id", _reply(_ID).alias("raw"))
+    replies = table(spark, sf_dir, "events").select("event_id", _reply(F.col("event_id")).alias("raw"))
     return judging.parse_verdicts(replies, "raw").drop("raw")
 
 
 @query("json_replies", "SELECT event_id, event_id % 7 <> 2 AS has_object, CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 3 ELSE 0 END::INT AS n_criteria FROM events")
 def json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.json_object(_reply(_ID))
+    found = X.json_object(_reply(F.col("event_id")))
     n = F.coalesce(F.size(F.from_json(found, "map<string,struct<confidence:double>>")), F.lit(0))
     return table(spark, sf_dir, "events").select("event_id", found.isNotNull().alias("has_object"), F.greatest(n, F.lit(0)).alias("n_criteria"))
 
@@ -73,7 +72,7 @@ CASE WHEN none OR bare THEN '' ELSE 'q' || event_id END AS evidence_quote, '' AS
 
 @query("parsed_graded", f"WITH {_GRADED_SQL} SELECT event_id, error, agreement, confidence, evidence_quote, reasoning FROM p")
 def parsed_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judging.parse_graded(table(spark, sf_dir, "events").select("event_id", _graded_reply(_ID).alias("raw")), "raw").drop("raw")
+    return judging.parse_graded(table(spark, sf_dir, "events").select("event_id", _graded_reply(F.col("event_id")).alias("raw")), "raw").drop("raw")
 
 
 @query("parsed_exclusions", """SELECT c_custkey, x.candidate, x.quote, '' AS reasoning FROM (SELECT c_custkey, unnest(CASE c_custkey % 4 WHEN 0 THEN [{candidate: 'code ' || c_custkey, quote: 'is "none"'}]
@@ -189,7 +188,7 @@ def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_registry", "SELECT c.criterion, 1 AS n FROM (VALUES ('two_worlds'), ('adaptors'), ('arbitrariness')) AS c(criterion)")
 def prompt_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7: each template once under its hash, whatever else is asked for."""
-    asked = table(spark, sf_dir, "events").select(F.element_at(F.array(*[F.lit(c) for c in (*CRITERIA, "other")]), (_ID % 4 + 1).cast("int")).alias("criterion"))
+    asked = table(spark, sf_dir, "events").select(F.element_at(F.array(*[F.lit(c) for c in (*CRITERIA, "other")]), (F.col("event_id") % 4 + 1).cast("int")).alias("criterion"))
     known = prompts.registry(asked).where(F.col("prompt_hash") == F.sha2("template", 256))
     return known.groupBy("criterion").agg(F.count_distinct("prompt_hash").cast("int").alias("n"))
 
@@ -199,7 +198,7 @@ def checkpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines, some of them cut off or blank, read back for some papers only."""
     e, path = table(spark, sf_dir, "events"), working_folder(spark, "checkpoint")
     line = F.to_json(F.struct(F.col("user_id").cast("string").alias("pdf_path"), "event_id", "value"))
-    e.select(F.when(_ID % 13 != 0, line).when(_ID % 26 == 0, F.left(line, F.lit(20))).otherwise("").alias("value")).write.text(path)
+    e.select(F.when(F.col("event_id") % 13 != 0, line).when(F.col("event_id") % 26 == 0, F.left(line, F.lit(20))).otherwise("").alias("value")).write.text(path)
     papers = e.where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("pdf_path"))
     return readers.read_checkpoint(spark, path, "pdf_path string, event_id long, value double", papers).select("event_id", "value")
 

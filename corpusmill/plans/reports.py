@@ -11,12 +11,10 @@ from ..operators import corpus, geometry, gold, ranking, topics
 from ..schemas import CRITERIA
 from .base import PVEC, SIDES, UNIT, centroids, doc_vectors, pole_vectors, query, rounded, table
 
-_CELLS = F.explode(F.array(*[F.struct(F.lit(c).alias("criterion"), F.lit(m).alias("method"), F.lit(7 * i + 5 * j).alias("k")) for i, c in enumerate(CRITERIA) for j, m in enumerate(("full", "chunk"))]))
-
-
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers of ten codes, with a made-up score for each criterion and method."""
-    cells = table(spark, sf_dir, "documents").select("doc_id", "n_chars", _CELLS.alias("x"))
+    each = F.array(*[F.struct(F.lit(c).alias("criterion"), F.lit(m).alias("method"), F.lit(7 * i + 5 * j).alias("k")) for i, c in enumerate(CRITERIA) for j, m in enumerate(("full", "chunk"))])
+    cells = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(each).alias("x"))
     e = ((F.col("n_chars") * 37 + F.col("doc_id") + F.col("x.k")) % 101) / 50 - 1
     return cells.select((F.col("doc_id") % 10).alias("code_number"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("pdf_path"), "x.criterion", "x.method", e.alias("e"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +92,7 @@ nearest AS (SELECT vec_id, topic_id, s FROM sim QUALIFY row_number() OVER (PARTI
 
 
 def _chunk_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = centroids(spark, sf_dir).orderBy("topic_id").collect()
-    choices = [(r["topic_id"], np.array(r["vec"])) for r in known]
+    choices = topics.collected(centroids(spark, sf_dir))
     d = doc_vectors(spark, sf_dir)
     return d.select("vec_id", "code_number", "pdf_path", "chunk_idx", topics.nearest(F.col("vec"), choices).alias("n")).select("vec_id", "code_number", "pdf_path", "chunk_idx", "n.topic_id", "n.similarity")
 

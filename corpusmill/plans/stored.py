@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,7 +10,9 @@ from ..operators import gold, judging, layout, prompts
 from ..sources import readers, store
 from .base import query, rounded, table, working_folder
 
-_STAMP = F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+def _stamp() -> Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 def _store(spark: SparkSession, name: str) -> store.Store:
@@ -24,7 +26,7 @@ def _store(spark: SparkSession, name: str) -> store.Store:
 def store_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a run upserted, and only that run read."""
     s, e = _store(spark, "scores"), table(spark, sf_dir, "embeddings")
-    rows = lambda run, value, model: e.select(F.lit(run).alias("run"), F.col("vec_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("full").alias("method"), F.col("label").cast("string").alias("criterion"), F.lit(value).alias("e"), F.lit(model).alias("model"), _STAMP.alias("run_ts"))
+    rows = lambda run, value, model: e.select(F.lit(run).alias("run"), F.col("vec_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("full").alias("method"), F.col("label").cast("string").alias("criterion"), F.lit(value).alias("e"), F.lit(model).alias("model"), _stamp().alias("run_ts"))
     s.upsert("embedding_scores", rows("a", 1.0, "old").unionByName(rows("b", 9.0, "old")))
     s.upsert("embedding_scores", rows("a", 2.0, "new").where("code_number % 2 = 0"))
     return s.read("embedding_scores", run="a").select("code_number", F.col("criterion").cast("int").alias("criterion_no"), "e", "model")
@@ -34,7 +36,7 @@ def store_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9: a recomputation takes over the score and leaves the model."""
     s, e = _store(spark, "rescored"), table(spark, sf_dir, "embeddings")
-    rows = lambda value, model: e.select(F.lit("a").alias("run"), F.col("vec_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("full").alias("method"), F.lit("c").alias("criterion"), F.lit(value).alias("e"), F.lit(model).alias("model"), _STAMP.alias("run_ts"))
+    rows = lambda value, model: e.select(F.lit("a").alias("run"), F.col("vec_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("full").alias("method"), F.lit("c").alias("criterion"), F.lit(value).alias("e"), F.lit(model).alias("model"), _stamp().alias("run_ts"))
     s.upsert("embedding_scores", rows(1.0, "old"))
     s.upsert("embedding_scores", rows(2.0, "new"), ["e", "run_ts"])
     return s.read("embedding_scores").select("code_number", "e", "model")
@@ -44,7 +46,7 @@ def store_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: verdicts by judge; what was unclear is overwritten."""
     s = _store(spark, "verdicts")
-    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("c").alias("criterion"), F.concat(F.lit("j"), (F.col("doc_id") % 3).cast("string")).alias("model"), F.when(F.col("quality") == 1, "met").otherwise("not_met").alias("verdict"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("graded"), F.lit("h").alias("prompt_hash"), _STAMP.alias("run_ts"))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("int").alias("code_number"), F.lit("p").alias("pdf_path"), F.lit("c").alias("criterion"), F.concat(F.lit("j"), (F.col("doc_id") % 3).cast("string")).alias("model"), F.when(F.col("quality") == 1, "met").otherwise("not_met").alias("verdict"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("graded"), F.lit("h").alias("prompt_hash"), _stamp().alias("run_ts"))
     s.upsert("verdicts", rows.withColumn("verdict", F.lit("unclear")))
     s.upsert("verdicts", rows)
     return s.read("verdicts").select("code_number", "model", "verdict")
@@ -54,7 +56,7 @@ def store_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by judge, some judged again; those of one judge that are errors are deleted."""
     s, e = _store(spark, "cells"), table(spark, sf_dir, "events")
-    cells = e.select(F.lit(1).alias("code_number"), F.col("event_type").alias("pdf_path"), F.lit("c").alias("criterion"), F.col("event_id").cast("int").alias("chunk_idx"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("model"), F.col("value").alias("agreement"), F.lit(1.0).alias("confidence"), F.lit("").alias("evidence_quote"), F.col("value").alias("raw_agreement"), F.lit(None).cast("double").alias("coverage"), F.lit(False).alias("grounding_failed"), F.lit("once").alias("prompt_hash"), _STAMP.alias("run_ts"))
+    cells = e.select(F.lit(1).alias("code_number"), F.col("event_type").alias("pdf_path"), F.lit("c").alias("criterion"), F.col("event_id").cast("int").alias("chunk_idx"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("model"), F.col("value").alias("agreement"), F.lit(1.0).alias("confidence"), F.lit("").alias("evidence_quote"), F.col("value").alias("raw_agreement"), F.lit(None).cast("double").alias("coverage"), F.lit(False).alias("grounding_failed"), F.lit("once").alias("prompt_hash"), _stamp().alias("run_ts"))
     s.upsert("chunk_verdicts", cells)
     s.upsert("chunk_verdicts", cells.where("pdf_path = 'view'").withColumn("prompt_hash", F.lit("again")))
     s.delete("chunk_verdicts", cells.where("pdf_path = 'error' and model = 'odd'"), ["pdf_path", "model"])
@@ -87,7 +89,7 @@ def store_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, "prompts")
     asked = spark.createDataFrame([(c,) for c in prompts.CRITERIA], "criterion string")
     for _ in range(2):
-        s.upsert("prompt_registry", prompts.registry(asked).withColumn("registered_ts", _STAMP))
+        s.upsert("prompt_registry", prompts.registry(asked).withColumn("registered_ts", _stamp()))
     return s.read("prompt_registry").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("criterion").alias("criteria"))
 
 
@@ -153,7 +155,7 @@ def payload_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, path = table(spark, sf_dir, "embeddings"), F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("pdf_path")
     inner = F.create_map(F.lit("x"), F.col("label").cast("double"), F.lit("y"), F.col("label").cast("double"))
     payload = e.select(path, F.create_map(F.lit("full"), inner, F.lit("chunk"), inner).alias("scores"), F.lit("m").alias("model"))
-    rows = store.scores_to_rows(payload, e.select(path, F.col("vec_id").cast("int").alias("code_number")), "a", _STAMP)
+    rows = store.scores_to_rows(payload, e.select(path, F.col("vec_id").cast("int").alias("code_number")), "a", _stamp())
     return rows.select("code_number", "method", "criterion", "e")
 
 

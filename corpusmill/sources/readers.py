@@ -21,6 +21,7 @@ from ..operators.corpus import first_by, last_by
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Quoted CSV with a header and multi-line fields, by column name; missing columns are null. ``position`` follows the
     order of rows in a file."""
+    # Fixed values in the callers below: the headers of the files
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
     have = set(raw.columns)
     return raw.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns], F.monotonically_increasing_id().alias("position"))
@@ -123,10 +124,9 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("pdf_path string, criterion string, verdict string").json(path)
 
 
-def load_prototypes(path: str) -> dict:
-    """Passages of the poles and instructions by criterion."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load_prototypes(spark: SparkSession, path: str) -> dict:
+    """Passages of the poles and instructions by criterion, from one JSON object in any store that Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def prototype_passages(spark: SparkSession, prototypes: dict) -> DataFrame:

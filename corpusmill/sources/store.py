@@ -1,7 +1,9 @@
 """The store: thirteen tables as Parquet, partitioned by run or judge, with keyed upserts.
 
-A table is a folder of versions and a small pointer to the one in force. An upsert writes the next version beside the
-one it reads and moves the pointer last, so readers and failed writers never meet.
+A table is a folder of written roots and a log of numbered entries; an entry says which root each partition is in. A
+change writes a new root for the partitions that it touches, and then the next entry, which is renamed into place and
+never replaces another one: readers see the table before or after, whenever a writer dies, and of two writers that began
+at the same entry the second gets an error.
 """
 
 from __future__ import annotations
@@ -9,10 +11,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import json
 import time
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,21 +50,34 @@ def zeroed_with_quote(cells: DataFrame, judges: list[str]) -> DataFrame:
     return cells.where((F.col("agreement") == 0) & (F.trim("evidence_quote") != "") & F.col("model").isin(judges)).orderBy(*order)
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None, order: str | None = None) -> DataFrame:
     """K3-K9: rows of ``source`` overwrite (nulls too) or extend those of ``target``.
 
-    ``update`` limits the columns that an existing row takes over (K9). Of several source rows with one key the last by
-    all columns counts.
+    ``update`` limits the columns that an existing row takes over (K9). Of several source rows with one key the one with
+    the greatest ``order`` (a column of the source, such as a position) counts: the last one wins. Without it, and among
+    equals, the greatest by all columns does. Null keys are equal.
     """
     names = target.columns
     values = [c for c in names if c not in keys]
     changed = set(values if update is None else update)
-    new = source.select(*[c if c in source.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in names])
-    new = new.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__n")) if values else new.distinct().withColumn("__n", F.lit(True))
-    old = target.select(*keys, (F.struct(*values) if values else F.lit(True)).alias("__o"))
-    both = old.join(new, keys, "full_outer")
-    pick = lambda c: F.when(F.col("__o").isNull(), F.col(f"__n.{c}")).when(F.col("__n").isNull() | F.lit(c not in changed), F.col(f"__o.{c}")).otherwise(F.col(f"__n.{c}"))
-    return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in names])
+    own = lambda c: F.col(c).cast(target.schema[c].dataType) if c in source.columns else F.lit(None).cast(target.schema[c].dataType)
+    place = F.col(order) if order else F.lit(0)
+    new = source.select(*[own(c).alias(f"k{i}") for i, c in enumerate(keys)], F.struct(place.alias("place"), F.struct(*[own(c).alias(c) for c in values], F.lit(True).alias("there")).alias("row")).alias("r"))
+    key = [f"k{i}" for i in range(len(keys))]
+    new = new.groupBy(*key).agg(F.max("r")["row"].alias("n"))
+    old = target.select(*[F.col(c).alias(f"o{k}") for c, k in zip(keys, key, strict=True)], F.struct(*values, F.lit(True).alias("there")).alias("o"))
+    match = F.lit(True)
+    for k in key:
+        match = match & F.col(k).eqNullSafe(F.col(f"o{k}"))
+    both = old.join(new, match, "full_outer")
+
+    def pick(c: str) -> Column:
+        if c in keys:
+            k = key[keys.index(c)]
+            return F.when(F.col("o").isNotNull(), F.col(f"o{k}")).otherwise(F.col(k))
+        return F.when(F.col("o").isNull(), F.col("n").getField(c)).when(F.col("n").isNull() | F.lit(c not in changed), F.col("o").getField(c)).otherwise(F.col("n").getField(c))
+
+    return both.select(*[pick(c).alias(c) for c in names])
 
 
 def delete_keys(target: DataFrame, dead: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,67 +92,134 @@ def gold_by_key(gold: DataFrame) -> DataFrame:
     return gold.groupBy(*keys).agg(F.max(F.struct("polarity", *rest)).alias("g")).select(*[F.col(c) if c in keys else F.col(f"g.{c}").alias(c) for c in gold.columns])
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer changed the table first; read it again and repeat the change."""
+
+
 class Store:
     """Tables under a folder that all machines share."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
-
-    def _version(self, table: str) -> str | None:
-        fs, path = self._fs(self._pointer(table))
-        return self.spark.read.text(self._pointer(table)).first()[0] if fs.exists(path) else None
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def _path(self, *parts: str):
+        return self.hadoop.Path("/".join([self.root, *parts]))
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _entry(self, table: str) -> tuple[int, dict[str, list[str] | None]]:
+        """Number of the newest entry of the log, 0 for none, and its roots with the partitions that count in each."""
+        fs, log = self._fs(), self._path(table, "_log")
+        names = [s.getPath().getName() for s in fs.listStatus(log)] if fs.exists(log) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        text = self.spark.read.text(f"{self.root}/{table}/_log/{max(numbers):012d}", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _publish(self, table: str, number: int, roots: dict[str, list[str] | None]) -> None:
+        """Writes an entry beside the log and renames it into its place, which fails if the number is taken."""
+        draft, place = self._path(table, f"_draft-{uuid.uuid4().hex}"), self._path(table, "_log", f"{number:012d}")
+        fs = self._fs()
+        fs.mkdirs(self._path(table, "_log"))
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(roots).encode()))
+        out.close()
+        context = self.hadoop.FileContext.getFileContext(place.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if place.toUri().getScheme() else self.hadoop.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(draft, place, options)
+        except Exception as error:
+            fs.delete(draft, False)
+            if fs.exists(place):
+                raise ConcurrentWriteError(f"{table}: entry {number} is there already") from error
+            raise
 
     def init(self) -> None:
         """K1: tables that are missing, empty; existing ones stay."""
         for name in TABLES:
-            if self._version(name) is None:
+            if not self._entry(name)[0]:
                 self.write(name, self.spark.createDataFrame([], TABLES[name].schema))
 
     def read(self, table: str, **where: str) -> DataFrame:
-        """A table, filtered by equality (on its partition that prunes files)."""
-        version = self._version(table)
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[table].schema)
-        df = self.spark.read.schema(TABLES[table].schema).parquet(f"{self.root}/{table}/{version}")
+        """A table, filtered by equality (on its partition that prunes files). A table without entries is empty."""
+        df = self._roots(table, self._entry(table)[1])
         for column, value in where.items():
             df = df.where(F.col(column) == value)
         return df
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """A whole new version; the one before stays until ``vacuum``."""
-        spec, version = TABLES[table], f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    def _roots(self, table: str, roots: dict[str, list[str] | None]) -> DataFrame:
+        spec, out = TABLES[table], None
+        for root, partitions in roots.items():
+            df = self.spark.read.schema(spec.schema).parquet(f"{self.root}/{table}/{root}").select(*spec.schema.names)
+            df = df if partitions is None else df.where(F.col(spec.partition).isin(partitions))
+            out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], spec.schema) if out is None else out
+
+    def _write_root(self, table: str, df: DataFrame) -> str:
+        spec, root = TABLES[table], f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         writer = df.select(*[F.col(f.name).cast(f.dataType) for f in spec.schema]).write
-        if spec.partition:
-            writer = writer.partitionBy(spec.partition)
-        writer.parquet(f"{self.root}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        (writer.partitionBy(spec.partition) if spec.partition else writer).parquet(f"{self.root}/{table}/{root}")
+        return root
 
-    def upsert(self, table: str, source: DataFrame, update: list[str] | None = None) -> None:
-        self.write(table, upsert(self.read(table), source, list(TABLES[table].key), update))
+    def _replace(self, table: str, number: int, roots: dict[str, list[str] | None], df: DataFrame, touched: list[str] | None) -> None:
+        """Publishes ``df`` as the partitions ``touched``, or as the whole table; other partitions stay where they are."""
+        root = self._write_root(table, df)
+        kept = {} if touched is None else {r: [p for p in partitions if p not in touched] for r, partitions in roots.items()}
+        self._publish(table, number + 1, {r: p for r, p in kept.items() if p} | {root: touched})
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """The whole table anew; what was there stays until ``vacuum``."""
+        number, roots = self._entry(table)
+        self._replace(table, number, roots, df, None)
+
+    def upsert(self, table: str, source: DataFrame, update: list[str] | None = None, order: str | None = None) -> None:
+        """Keyed upsert; of a partitioned table only the partitions that ``source`` has are read and written."""
+        spec = TABLES[table]
+        number, roots = self._entry(table)
+        touched = [r[0] for r in source.select(F.col(spec.partition).cast("string")).distinct().collect()] if spec.partition else []
+        if None in touched:
+            raise ValueError(f"{table}: {spec.partition} is null in some rows")
+        if spec.partition and all(p is not None for p in roots.values()):
+            touched.sort()
+            old = self._roots(table, {r: sorted(set(p) & set(touched)) for r, p in roots.items() if set(p) & set(touched)})
+            self._replace(table, number, roots, upsert(old, source, list(spec.key), update, order), touched)
+            return
+        new = upsert(self._roots(table, roots), source, list(spec.key), update, order)
+        if not spec.partition:
+            self._replace(table, number, roots, new, None)
+            return
+        root = self._write_root(table, new)  # from here on entries name their partitions
+        self._publish(table, number + 1, {root: self._partitions(table, root)})
+
+    def _partitions(self, table: str, root: str) -> list[str]:
+        rows = self.spark.read.schema(TABLES[table].schema).parquet(f"{self.root}/{table}/{root}").select(TABLES[table].partition).distinct().collect()
+        return sorted(r[0] for r in rows if r[0] is not None)
 
     def delete(self, table: str, dead: DataFrame, keys: list[str]) -> None:
         if not dead.isEmpty():
-            self.write(table, delete_keys(self.read(table), dead, keys))
+            number, roots = self._entry(table)
+            self._replace(table, number, roots, delete_keys(self._roots(table, roots), dead, keys), None)
 
     def vacuum(self, table: str) -> None:
-        """Removes versions that are not in force."""
-        current = self._version(table)
-        fs, path = self._fs(f"{self.root}/{table}")
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            if name.startswith("v") and name != current:
+        """Removes roots, drafts and entries that are not in force."""
+        number, roots = self._entry(table)
+        fs = self._fs()
+        for status in fs.listStatus(self._path(table)):
+            if status.getPath().getName() not in (*roots, "_log"):
                 fs.delete(status.getPath(), True)
+        for status in fs.listStatus(self._path(table, "_log")):
+            if status.getPath().getName() != f"{number:012d}":
+                fs.delete(status.getPath(), False)
 
     def columns(self, table: str) -> list[str]:
-        """Columns of a table as stored."""
-        return self.read(table).columns
+        """Columns of a table as stored, found in its files; those of the schema while it has none."""
+        for root in self._entry(table)[1]:
+            with contextlib.suppress(AnalysisException):  # a root without rows has no files
+                return self.spark.read.parquet(f"{self.root}/{table}/{root}").columns
+        return list(TABLES[table].schema.names)
 
     def key_columns(self, table: str) -> list[str]:
         return list(TABLES[table].key)

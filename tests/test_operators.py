@@ -392,6 +392,132 @@ def test_store(spark, tmp_path):
     assert [(r.model, r.verdict) for r in store.migrate(old, "verdicts").collect()] == [("unknown", "met")]
 
 
+def test_upsert_takes_the_last_and_matches_nulls(spark):
+    target = spark.createDataFrame([(1, "old"), (None, "none"), (3, "kept")], "k int, v string")
+    source = spark.createDataFrame([(1, "z", 0), (1, "a", 1), (None, "new", 2), (4, None, 3)], "k int, v string, position int")
+    got = {(r.k, r.v) for r in store.upsert(target, source, ["k"], order="position").collect()}
+    assert got == {(1, "a"), (None, "new"), (3, "kept"), (4, None)}
+    assert {(r.k, r.v) for r in store.upsert(target, source, ["k"]).collect()} == {(1, "z"), (None, "new"), (3, "kept"), (4, None)}
+
+
+def test_store_between_the_steps_of_a_writer(spark, tmp_path, monkeypatch):
+    schema = "run string, k string, v string"
+    rows = lambda run, v: spark.createDataFrame([(run, "k", v)], schema)
+    values = lambda s: {(r.run, r.v) for r in s.read("run_meta").collect()}
+    s = store.Store(spark, str(tmp_path))
+    s.upsert("run_meta", rows("a", "1"))
+    s.upsert("run_meta", rows("b", "1"))
+    before = s._entry("run_meta")[1]
+    assert values(s) == {("a", "1"), ("b", "1")} and sorted(x for p in before.values() for x in p) == ["a", "b"]
+    # a writer dies once its root is written: nothing has changed, and the next one goes on
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            s.upsert("run_meta", rows("a", "2"))
+    assert values(s) == {("a", "1"), ("b", "1")}
+    # a draft that was never renamed is no entry
+    (tmp_path / "run_meta" / "_draft-x").write_text("{")
+    s.upsert("run_meta", rows("a", "3"))
+    after = s._entry("run_meta")[1]
+    assert values(s) == {("a", "3"), ("b", "1")} and [r for r, p in before.items() if p == ["b"]] == [r for r, p in after.items() if p == ["b"]]
+    # another writer is faster: the second publishes nothing
+    other = store.Store(spark, str(tmp_path))
+    with monkeypatch.context() as m:
+        write = store.Store._write_root
+
+        def slow(self, table, df):
+            root = write(self, table, df)
+            if self is s:
+                other.upsert("run_meta", rows("a", "4"))
+            return root
+
+        m.setattr(store.Store, "_write_root", slow)
+        with pytest.raises(store.ConcurrentWriteError):
+            s.upsert("run_meta", rows("a", "5"))
+    assert values(s) == {("a", "4"), ("b", "1")}
+    s.vacuum("run_meta")
+    assert values(s) == {("a", "4"), ("b", "1")} and {x.name for x in (tmp_path / "run_meta").iterdir()} == {"_log", *s._entry("run_meta")[1]}
+    with pytest.raises(ValueError):
+        s.upsert("run_meta", rows(None, "1"))
+
+
+def test_judging_goes_on_after_a_stop(spark, tmp_path):
+    work = spark.range(40).selectExpr("id as cell", "'s' as system", "cast(id as string) as prompt")
+    path = str(tmp_path / "done")
+
+    def broken(system, prompt):
+        if int(prompt) % 4 == 0:
+            raise RuntimeError("boom")
+        return "first"
+
+    assert {r.cell for r in judging.judge_and_keep(work, path, ["cell"], broken, 3).collect()} == {i for i in range(40) if i % 4}
+    done = judging.judge_and_keep(work, path, ["cell"], lambda system, prompt: "second", 3).collect()
+    assert len(done) == 40 and {r.raw for r in done if r.cell % 4} == {"first"} and {r.raw for r in done if r.cell % 4 == 0} == {"second"}
+
+
+def test_principal_axes_of_many_dimensions(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) @ np.diag([9.0, 5.0, 3.0]) @ rng.normal(size=(3, 20)) + 0.1 * rng.normal(size=(60, 20)) + 2
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(5)
+    want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2]
+    for most in (512, 4):
+        monkeypatch.setattr(geometry, "GRAM", most)
+        mu, axes = geometry.principal_axes(df, 2)
+        assert mu == pytest.approx(x.mean(axis=0)) and np.abs((axes * want).sum(axis=1)) == pytest.approx(np.ones(2), abs=1e-9)
+    monkeypatch.setattr(V, "added", lambda *_: pytest.fail("no matrix is needed"))
+    assert geometry.principal_axes(df, 0)[1].shape == (0, 20)
+
+
+def test_ranks_over_ranges_of_values(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else f"g{i % 7}", float(v)) for i, v in enumerate(rng.choice(np.r_[rng.normal(size=300), [0.0] * 50], 900))] + [("hot", None), ("hot", float("nan")), ("one", 5.0)]
+    got = stats.average_ranks(spark.createDataFrame(rows, "g string, x double").repartition(5), "x", ["g"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "__range" in plan
+    ranks = sorted((r.g, r["rank"]) for r in got.collect())
+    want = []
+    for g in {g for g, _ in rows}:
+        values = [(-math.inf if x is None else math.inf if x != x else x) for h, x in rows if h == g]
+        want += [(g, sum(v < x for v in values) + (values.count(x) + 1) / 2) for x in values]
+    assert ranks == sorted(want)
+
+
+def test_means_without_nulls(spark):
+    df = spark.createDataFrame([("a", [1.0, None]), ("a", [3.0, 4.0]), ("b", None), (None, [1.0, 1.0])], "g string, v array<double>")
+    assert {r.g: r["mean"] for r in V.mean_vector(df, "v", ["g"]).collect()} == {"a": [2.0, 4.0], None: [1.0, 1.0]}
+    assert V.mean_vector(df.limit(0), "v", []).collect() == []
+
+
+def test_too_many_centroids(spark, monkeypatch):
+    monkeypatch.setattr(topics, "MOST_BYTES", 8)
+    with pytest.raises(ValueError, match="broadcast"):
+        topics.nearest(F.col("v"), [(1, np.ones(2))])
+
+
+def test_command_line(spark, capsys):
+    from corpusmill.__main__ import main, parser
+
+    assert main(["list"]) == 0 and "auc_quality" in capsys.readouterr().out
+    asked = parser().parse_args(["recompute", "folder", "--run", "r", "--k", "2", "--strength", "0.25", "--self", "x.org"])
+    assert (asked.store, asked.run, asked.k, asked.strength, asked.own) == ("folder", "r", 2, 0.25, ["x.org"])
+    assert parser().parse_args(["report", "folder"]).judge is None
+    with pytest.raises(SystemExit):
+        parser().parse_args(["query", "no such query", "data"])
+
+
+def test_page_says_what_it_leaves_out(spark):
+    rows = spark.createDataFrame([(i % 3, f"p{i:02}", float(i)) for i in range(30)], "code_number int, pdf_path string, e_adaptors double")
+    page = reports.ranking_page(rows, "t", 10)
+    assert "The first 10 of 30 papers by code and path." in page and "p27" in page and "p29" not in page
+    assert "The first" not in reports.ranking_page(rows, "t", None) and "p29" in reports.ranking_page(rows, "t", None)
+
+
+def test_prototypes(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"adaptors": {"pos": ["a", "b"], "neg": ["c"]}, "note": "x"}, indent=1))
+    passages = readers.prototype_passages(spark, readers.load_prototypes(spark, str(tmp_path / "p.json")))
+    assert {(r.pole, r.passage_no, r.text) for r in passages.collect()} == {("pos", 0, "a"), ("pos", 1, "b"), ("neg", 0, "c")}
+
+
 def test_projections(spark):
     codes = spark.createDataFrame([("p", 4)], "pdf_path string, code_number int")
     payload = spark.createDataFrame([("p", {"chunk": [[1.0], [2.0]], "full": [[3.0]]})], "pdf_path string, vectors map<string,array<array<float>>>")
