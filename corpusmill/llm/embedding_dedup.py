@@ -151,7 +151,7 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
 
     Rows with v have a link that spans a group; rows without say that u has ``links`` more vectors linked to it.
     Cells that share the first codeword are shipped to by the block, so a vector travels once a block and not once a
-    cell; in a block it meets the members of the cells that it visits.
+    cell; a bit for each cell of the block says which it visits, and it meets their members.
     """
     spark = classes.sparkSession
     # a share of the hashes, so that each task sends its few vectors and nothing is sorted; the limit hardly ever acts
@@ -182,7 +182,7 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
     parts = np.maximum(1, -(-sizes // PART)).astype(np.int64)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "part", "own", "cell", "rep", "n", "vec"]
+        names = ["block", "part", "own", "cell", "rep", "n", "vec", "visits"]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -192,18 +192,23 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
                 part = np.array([hash_part(r, p) for r, p in zip(rep.tolist(), parts[block].tolist(), strict=True)], np.int64)
                 row, i, j = traverse(bounds(u[:, :half], books[0])[1], bounds(u[:, half:], books[1])[1], radius2)
                 later = (i * columns + j > cell[row]) & filled[i * columns + j]  # two cells meet in the later one
-                pairs = np.unique(row[later] * len(sizes) + i[later] * across + j[later] // wide)
-                row, to = pairs // len(sizes), pairs % len(sizes)
+                pairs, at = np.unique(row[later] * len(sizes) + i[later] * across + j[later] // wide, return_inverse=True)
                 own_too = np.setdiff1d(np.arange(len(rep)) * len(sizes) + block, pairs)  # for the earlier parts of its own cell
-                row, to = np.r_[row, own_too // len(sizes)], np.r_[to, own_too % len(sizes)]
+                visited = np.zeros((len(pairs) + len(own_too), wide), bool)  # the cells of the block
+                visited[at, j[later] % wide] = True
+                keys = np.r_[pairs, own_too]
+                row, to = keys // len(sizes), keys % len(sizes)
+                order = np.argsort(keys)
+                home = order[np.searchsorted(keys[order], np.arange(len(rep)) * len(sizes) + block)]
                 copies = np.where(np.arange(len(row)) < len(pairs), parts[to], part[row])
                 at_part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                row, to = np.repeat(row, copies), np.repeat(to, copies)
-                away = (to != block[row]) | (at_part != part[row])
-                take = np.r_[np.arange(len(rep)), row[away]]
-                made = [np.r_[block, to[away]].astype(np.int32), np.r_[part, at_part[away]].astype(np.int32), np.arange(len(take)) < len(rep)]
+                which = np.repeat(np.arange(len(row)), copies)
+                which, at_part = (x[(to[which] != block[row[which]]) | (at_part != part[row[which]])] for x in (which, at_part))
+                take = np.r_[np.arange(len(rep)), row[which]]
+                made = [np.r_[block, to[which]].astype(np.int32), np.r_[part, at_part].astype(np.int32), np.arange(len(take)) < len(rep)]
+                bits = np.packbits(visited[np.r_[home, which]], axis=1)
                 picked = batch.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([*[pa.array(m) for m in made], picked.column(3), picked.column(0), picked.column(1), picked.column(2)], names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(m) for m in made], picked.column(3), picked.column(0), picked.column(1), picked.column(2), pa.array(list(map(bytes, bits)), pa.binary())], names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,13 +216,12 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
             own, cell, part, rep = (t.column(c).to_numpy() for c in ("own", "cell", "part", "rep"))
             first = int(t.column("block")[0].as_py())
             u = unit(t.column("vec").to_pylist(), dim)
-            near = bounds(u[:, :half], books[0])[1][:, first // across]
-            second = bounds(u[:, half:], books[1])[1]
+            visited = np.unpackbits(np.frombuffer(b"".join(t.column("visits").to_pylist()), np.uint8).reshape(len(u), -1), axis=1).astype(bool)
             for c in np.unique(cell[own]).tolist():
                 mine = np.flatnonzero(own & (cell == c))
                 p, q = np.nonzero(np.triu(u[mine] @ u[mine].T >= threshold, 1))
                 yield mine[p], mine[q]
-                earlier = (cell < c) & (near + second[:, c % columns] <= radius2)
+                earlier = visited[:, c % columns % wide]
                 others = np.flatnonzero(earlier | ((cell == c) & ~own & (later_part(rep, part, int(parts[first])))))
                 for at in range(0, len(others), QUERIES):
                     few = others[at : at + QUERIES]
@@ -258,7 +262,7 @@ def links(classes: DataFrame, dim: int, n: int, threshold: float = THRESHOLD, re
             table = pa.Table.from_batches(held)
             yield from answer(table, table.column("block").to_numpy().astype(np.int64) << 32 | table.column("part").to_numpy())
 
-    dealt = members.mapInArrow(visits, "block int, part int, own boolean, cell int, rep long, n long, vec binary")
+    dealt = members.mapInArrow(visits, "block int, part int, own boolean, cell int, rep long, n long, vec binary, visits binary")
     dealt = dealt.repartition(partitions(spark), "block", "part").sortWithinPartitions("block", "part")
     return dealt.mapInArrow(search, "u long, v long, links long")
 
