@@ -234,23 +234,42 @@ def _trained(toxic: list[str], clean: list[str], seed: int) -> Model:
     return Model(trainer.gram_scores().astype(np.float32), float(trainer.bias[1] - trainer.bias[0]), np.zeros(3))
 
 
+@dataclass
+class Part:
+    """What one training gives: its model, and its evidence of the rows that it has not seen, with their labels."""
+
+    model: Model
+    evidence: np.ndarray
+    labels: np.ndarray
+
+
+def _parts(toxic: list[str], clean: list[str]) -> int:
+    return min(PARTS, len(toxic), len(clean))
+
+
+def _part(toxic: list[str], clean: list[str], part: int, parts: int, seed: int) -> Part:
+    split = lambda texts, inside: texts if parts == 1 else [t for i, t in enumerate(texts) if (i % parts == part) == inside]
+    model = _trained(split(toxic, False), split(clean, False), seed + part)
+    held_t, held_c = split(toxic, True), split(clean, True)
+    return Part(model, document_evidence(held_t + held_c, model), np.r_[np.ones(len(held_t)), np.zeros(len(held_c))])
+
+
+def _combined(parts: list[Part]) -> Model:
+    mean = np.mean([p.model.gram_scores for p in parts], axis=0).astype(np.float32)
+    calibration = _logistic(np.vstack([p.evidence for p in parts]), np.concatenate([p.labels for p in parts]))
+    return Model(mean, float(np.mean([p.model.bias for p in parts])), calibration)
+
+
+def _one_kind(toxic: list[str]) -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
+
+
 def fit(toxic: list[str], clean: list[str], seed: int = 42) -> Model:
     """The mean of PARTS models, each trained without a part of the sample; what they say of the parts that they have not
     seen calibrates it. With less than two rows of either kind one model is trained and calibrated on all."""
     toxic, clean = [t for t in toxic if t.split()], [t for t in clean if t.split()]
-    if not toxic or not clean:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, np.array([4.0 if toxic else -4.0, 0.0, 0.0]))
-    parts = min(PARTS, len(toxic), len(clean))
-    models, evidence, y = [], [], []
-    for part in range(parts):
-        split = lambda texts, inside: texts if parts == 1 else [t for i, t in enumerate(texts) if (i % parts == part) == inside]  # noqa: B023, E731
-        model = _trained(split(toxic, False), split(clean, False), seed + part)
-        held_t, held_c = split(toxic, True), split(clean, True)
-        models.append(model)
-        evidence.append(document_evidence(held_t + held_c, model))
-        y += [1.0] * len(held_t) + [0.0] * len(held_c)
-    mean = np.mean([m.gram_scores for m in models], axis=0).astype(np.float32)
-    return Model(mean, float(np.mean([m.bias for m in models])), _logistic(np.vstack(evidence), np.array(y)))
+    n = _parts(toxic, clean)
+    return _combined([_part(toxic, clean, i, n, seed) for i in range(n)]) if n else _one_kind(toxic)
 
 
 def score(texts: list[str | None], model: Model) -> np.ndarray:
@@ -261,9 +280,27 @@ def score(texts: list[str | None], model: Model) -> np.ndarray:
     return np.where(np.isnan(x[:, 0]), 0.0, out)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, seed: int = 42) -> Model:
+    """``fit`` on the labelled sample, with each training as a task; the sample, which is bounded, is broadcast to them and
+    a megabyte of scores comes back from each."""
     sample = labelled_sample(docs, labels, "toxic", fold(of=4) != 2, SAMPLE_ROWS, SAMPLE_CHARS)
-    return fit(sample[1], sample[0])
+    toxic, clean = ([t for t in sample[label] if t.split()] for label in (1, 0))
+    n = _parts(toxic, clean)
+    if not n:
+        return _one_kind(toxic)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((toxic, clean))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"].tolist():
+                made = _part(*shared.value, i, n, seed)
+                yield pd.DataFrame({"id": [i], "scores": [made.model.gram_scores.tobytes()], "bias": [made.model.bias], "evidence": [made.evidence.tobytes()], "labels": [made.labels.tobytes()]})
+
+    rows = spark.range(0, n, 1, n).mapInPandas(run, "id long, scores binary, bias double, evidence binary, labels binary").collect()
+    shared.unpersist()
+    read = lambda data, kind: np.frombuffer(bytes(data), kind)
+    return _combined([Part(Model(read(r["scores"], np.float32), r["bias"], np.zeros(3)), read(r["evidence"], float).reshape(-1, 2), read(r["labels"], float)) for r in sorted(rows)])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
