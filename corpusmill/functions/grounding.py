@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Least share of a quote that its source has to hold, and least length of one run of it.
 TAU, MIN_BLOCK = 0.85, 15
+#: Characters of quotes that may be collected and sent to every task.
+MOST_CHARS = 1 << 26
 #: Typographic variants and what they stand for.
 PUNCTUATION = {"‘": "'", "’": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‒": "-", "‐": "-", "‑": "-", "−": "-", "­": ""}
 _FOLD = str.maketrans(PUNCTUATION)
@@ -112,9 +114,13 @@ def paired(docs: DataFrame, quotes: DataFrame, folds: list[Callable[[str], str]]
     """``(doc_id, item_id, quote, text)`` of each row of ``docs(doc_id, text)`` and each of ``quotes(item_id, quote)`` that
     share a run of ``block`` characters (all of the quote, if it is shorter) after one of ``folds``.
 
-    F11 asks for such a run, so with ``fold_marks`` no grounded pair is missing. The quotes are a query set, which is
-    collected; each task holds it against its own documents, and nothing is shuffled. Nulls meet nothing.
+    F11 asks for such a run, so with ``fold_marks`` no grounded pair is missing. The quotes are a query set of at most
+    MOST_CHARS characters, which is collected; each task holds it against its own documents, and nothing is shuffled. A
+    larger set is an error, to be asked in several goes. Nulls meet nothing.
     """
+    size = quotes.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()[0]
+    if size > MOST_CHARS:
+        raise ValueError(f"the quotes have {size} characters, more than the {MOST_CHARS} that may be sent to every task")
     asked = [tuple(r) for r in quotes.where(F.col("quote").isNotNull()).select("item_id", "quote").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

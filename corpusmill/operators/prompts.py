@@ -1,4 +1,7 @@
-"""Prompts for an injected judge, as columns; the passage comes first, so that prompts over one passage share a prefix."""
+"""Prompts for an injected judge, as columns; the passage comes first, so that prompts over one passage share a prefix.
+
+The wording is this library's own, so hashes of prompts tell its own prompts apart and equal those of no other tool.
+"""
 
 from __future__ import annotations
 

@@ -17,11 +17,17 @@ from pyspark.sql import types as T
 from ..functions.text import basename, output_path
 from ..operators.corpus import first_by, last_by
 
+#: Headers of the CSV files.
+CITATION_HEADERS = ["Code Number", "Code Name", "Paper Name", "URL"]
+TOPIC_HEADERS = ["Topic #", "Label", "Centroid Text"]
+ALLOWED_HEADERS = ["topic_id", "label", "molecular"]
+GOLD_HEADERS = ["code_number", "pdf_path", "polarity", "tier", "source", "criterion", "evidence"]
+MANIFEST_HEADERS = ["Source File", "Paper Name", "URL"]
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Quoted CSV with a header and multi-line fields, by column name; missing columns are null. ``position`` follows the
     order of rows in a file."""
-    # Fixed values in the callers below: the headers of the files
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
     have = set(raw.columns)
     return raw.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns], F.monotonically_increasing_id().alias("position"))
@@ -29,14 +35,14 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def read_citations(spark: SparkSession, path: str) -> DataFrame:
     """``(code_number, code_name, paper_name, url, position)`` of rows with a link."""
-    rows = read_csv(spark, path, ["Code Number", "Code Name", "Paper Name", "URL"])
+    rows = read_csv(spark, path, CITATION_HEADERS)
     rows = rows.select(F.col("`Code Number`").alias("code_number"), F.col("`Code Name`").alias("code_name"), F.col("`Paper Name`").alias("paper_name"), F.trim("URL").alias("url"), "position")
     return rows.where("url <> ''")
 
 
 def read_code_names(spark: SparkSession, path: str) -> DataFrame:
     """``(code_number, code_name)``, the first name of each number."""
-    rows = read_csv(spark, path, ["Code Number", "Code Name"])
+    rows = read_csv(spark, path, CITATION_HEADERS[:2])
     rows = rows.select(F.trim("`Code Number`").try_cast("int").alias("code_number"), F.trim("`Code Name`").alias("code_name"), "position").where("code_number is not null")
     return first_by(rows, ["code_number"], ["position"]).drop("position")
 
@@ -54,7 +60,7 @@ def citations_by_file(citations: DataFrame, folder: str) -> DataFrame:
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """``(topic_id, label, centroid_text)``."""
-    rows = read_csv(spark, path, ["Topic #", "Label", "Centroid Text"])
+    rows = read_csv(spark, path, TOPIC_HEADERS)
     return rows.select(F.trim("`Topic #`").try_cast("int").alias("topic_id"), F.trim("Label").alias("label"), F.trim("`Centroid Text`").alias("centroid_text")).where("topic_id is not null")
 
 
@@ -65,13 +71,13 @@ def read_centroid_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_topic_labels(spark: SparkSession, path: str) -> DataFrame:
     """``(topic_id, label)`` of all rows with a number."""
-    rows = read_csv(spark, path, ["topic_id", "label"])
+    rows = read_csv(spark, path, ALLOWED_HEADERS[:2])
     return rows.select(F.trim("topic_id").try_cast("int").alias("topic_id"), F.trim("label").alias("label")).where("topic_id is not null")
 
 
 def read_allowed_topics(spark: SparkSession, path: str) -> DataFrame:
     """``(topic_id, label)`` of topics marked yes."""
-    rows = read_csv(spark, path, ["topic_id", "label", "molecular"]).where(F.lower(F.trim("molecular")) == "yes")
+    rows = read_csv(spark, path, ALLOWED_HEADERS).where(F.lower(F.trim("molecular")) == "yes")
     return rows.select(F.trim("topic_id").try_cast("int").alias("topic_id"), F.trim("label").alias("label")).where("topic_id is not null")
 
 
@@ -82,15 +88,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """The gold set; no rows where the file is missing."""
-    columns = ["code_number", "pdf_path", "polarity", "tier", "source", "criterion", "evidence"]
     if not _exists(spark, path):
-        return spark.createDataFrame([], "code_number int, " + ", ".join(f"{c} string" for c in columns[1:]))
-    return read_csv(spark, path, columns).drop("position").withColumn("code_number", F.col("code_number").try_cast("int"))
+        return spark.createDataFrame([], "code_number int, " + ", ".join(f"{c} string" for c in GOLD_HEADERS[1:]))
+    return read_csv(spark, path, GOLD_HEADERS).drop("position").withColumn("code_number", F.col("code_number").try_cast("int"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``(source_file, paper_name, url, position)``."""
-    rows = read_csv(spark, path, ["Source File", "Paper Name", "URL"])
+    rows = read_csv(spark, path, MANIFEST_HEADERS)
     clean = lambda c: F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))
     return rows.select(clean("Source File").alias("source_file"), clean("Paper Name").alias("paper_name"), clean("URL").alias("url"), "position")
 
