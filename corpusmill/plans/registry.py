@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import judged, replies, reports, scored, stored, textual
+from . import judged, replies, reports, scored, stored, textual, workflows
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "judged", "replies", "reports", "scored", "stored", "textual"]
+__all__ = ["ORACLES", "QUERIES", "judged", "replies", "reports", "scored", "stored", "textual", "workflows"]
