@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, hashable, staged
 
+#: Places (one a source and length) that may go to every executor; their size is counted first.
+MOST_PLACES = 1 << 18
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -173,15 +175,17 @@ def sample(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
     Rows without words are not taken. What is taken once more of a source and a length are the rows before one place in the
-    seeded order; rows meet that place (one a source and length) and decide by themselves, so no text is shuffled where
-    the places fit into a broadcast. At the place itself there may be rows that are equal in all columns, of which some are
-    taken; they become one that comes as often. Names of columns cannot clash.
+    seeded order; rows meet that place (one a source and length) and decide by themselves. Up to MOST_PLACES places are
+    broadcast, and no text is shuffled; more of them are met by a join as Spark sees fit. At the place itself there may be
+    rows that are equal in all columns, of which some are taken; they become one that comes as often. Names of columns
+    cannot clash.
     """
     place = F.struct("h", F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(*hashable(docs)).alias("tie"), F.struct("*").alias("row")).where("size > 0")
     plan = shares(keyed.select("doc_id", "source", "size", "tie"), seed).groupBy(F.col("source").alias("p_source"), F.col("size").alias("p_size"))
     plan = staged(plan.agg(F.max("passes").alias("passes"), F.max(F.when(F.col("again") > 0, F.struct(place.alias("at"), "again", "n"))).alias("last")), "places")
-    rows = keyed.withColumn("h", seeded(seed)).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
+    places = F.broadcast(plan) if plan.count() <= MOST_PLACES else plan
+    rows = keyed.withColumn("h", seeded(seed)).join(places, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     rows = rows.select("row", "tie", place.alias("at"), "passes", "last")
     whole = (F.col("at") < F.col("last.at")) | ((F.col("at") == F.col("last.at")) & (F.col("last.again") == F.col("last.n")))
     out = rows.select("row", (F.col("passes") + F.coalesce(whole.cast("long"), F.lit(0))).alias("copies"))
