@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, reference_entries, sections, signature
@@ -80,11 +80,13 @@ def match_candidates(items: DataFrame, names: DataFrame, candidate: str = "candi
 
 
 def exclusion_negatives(mapped: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hard negatives, one for each paper of a mapped code (by its first item), and the items left conceptual."""
-    items = mapped.withColumn("__e", F.concat(F.lit("excluded '"), F.col("candidate"), F.lit("': \""), F.left("quote", F.lit(120)), F.lit('"')))
-    rows = items.join(papers, items.mapped_code == papers.code_number)
-    first = Window.partitionBy("code_number", "pdf_path").orderBy("item_no")
-    rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    """Hard negatives, one for each paper of a mapped code (by its first item), and the items left conceptual.
+
+    The first item of a code is found before papers are joined, so no code pairs all its items with all its papers.
+    """
+    evidence = F.concat(F.lit("excluded '"), F.col("candidate"), F.lit("': \""), F.left("quote", F.lit(120)), F.lit('"'))
+    first = mapped.groupBy(F.col("mapped_code").alias("code_number")).agg(F.min(F.struct("item_no", evidence.alias("e")))["e"].alias("__e"))
+    rows = papers.select("code_number", "pdf_path").distinct().join(first, "code_number")
     codes = papers.select(F.col("code_number").alias("mapped_code")).distinct()
     return _rows(rows, "neg", "hard", "exclusion", F.col("__e")), mapped.join(codes, "mapped_code", "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -319,6 +320,29 @@ def test_method_texts(spark):
 # gold
 
 
+def join_rows(df):
+    """Rows that the joins of a plan gave."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "Join" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_exclusion_negatives_pair_no_items_with_papers(spark):
+    mapped = spark.range(40).selectExpr("cast(40 - id as int) as item_no", "concat('c', 40 - id) as candidate", "if(id < 39, 'q', repeat('x', 200)) as quote", "cast(if(id = 5, null, 7) as int) as mapped_code")
+    papers = spark.range(60).selectExpr("cast(7 + id % 2 as int) as code_number", "concat('p', id div 2 % 25) as pdf_path")
+    rows, conceptual = gold.exclusion_negatives(mapped, papers)
+    assert Counter((r.code_number, r.pdf_path, r.evidence) for r in rows.collect()) == Counter((7, f"p{i}", "excluded 'c1': \"" + "x" * 120 + '"') for i in range(25))
+    assert [r.item_no for r in conceptual.collect()] == [35]
+    assert join_rows(rows) <= 30
+
+
 def test_gold_rules(spark):
     names = spark.createDataFrame([(1, "The Genetic Code"), (2, "Immune code"), (3, "Organic immune codes"), (4, "the code")], "code_number int, code_name string")
     items = spark.createDataFrame([(0, "s", "immune CODE", "q1", ""), (1, "s", "Immune system", "q2", ""), (2, "s", "the", "q3", ""), (3, "s", "an immune", "q4", "")], "item_no int, source_pdf string, candidate string, quote string, reasoning string")
