@@ -343,6 +343,16 @@ def test_exclusion_negatives_pair_no_items_with_papers(spark):
     assert join_rows(rows) <= 30
 
 
+def test_exclude_phase_pairs_no_items_with_papers(spark):
+    mapped = spark.range(40).selectExpr("id as item_no", "'c' as candidate", "'q' as quote", "cast(id % 2 as int) as mapped_code")
+    papers = spark.range(60).selectExpr("cast(id % 3 as int) as code_number", "concat('p', id div 3) as pdf_path")
+    known = papers.where("pdf_path = 'p4' and code_number = 2").selectExpr("code_number", "pdf_path", "'pos' as polarity", *[f"'x' as {c}" for c in ("tier", "source", "criterion", "evidence")])
+    phase = gold.exclude_phase(known, mapped, papers, ratified=True)
+    want = [(2, "p4", "pos"), *[(c, f"p{i}", "neg") for c in (0, 1) for i in range(20) if i != 4]]
+    assert sorted((r.code_number, r.pdf_path, r.polarity) for r in phase.collect()) == sorted(want)
+    assert join_rows(phase) <= 100
+
+
 def test_gold_rules(spark):
     names = spark.createDataFrame([(1, "The Genetic Code"), (2, "Immune code"), (3, "Organic immune codes"), (4, "the code")], "code_number int, code_name string")
     items = spark.createDataFrame([(0, "s", "immune CODE", "q1", ""), (1, "s", "Immune system", "q2", ""), (2, "s", "the", "q3", ""), (3, "s", "an immune", "q4", "")], "item_no int, source_pdf string, candidate string, quote string, reasoning string")
