@@ -2,6 +2,9 @@
 
 ``chars(page, x0, x1, top, bottom, text)`` and ``links(page, x0, x1, top, bottom, uri)``. Bands are made within a page;
 only the code that a page hands on is carried over pages, in a window over one row a page of a document.
+
+Characters and links are often exploded from few stored rows. Spark estimates their size by the file that they come from
+and may broadcast them, so the joins on pages are merge joins by a hint.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def bands(chars: DataFrame, doc: list[str]) -> DataFrame:
     found = anchors(chars, doc)
     below = F.lead("top").over(Window.partitionBy(*doc, "page").orderBy("top"))
     own = found.select(*doc, "page", (F.col("top") - SLACK).alias("top0"), F.coalesce(below - SLACK, F.lit(FOOTER)).alias("top1"), "code_number")
-    pages = chars.select(*doc, "page").distinct().join(found.groupBy(*doc, "page").agg(F.min("top").alias("first"), F.max_by("code_number", "top").alias("last")), [*doc, "page"], "left")
+    pages = chars.select(*doc, "page").distinct().hint("merge").join(found.groupBy(*doc, "page").agg(F.min("top").alias("first"), F.max_by("code_number", "top").alias("last")), [*doc, "page"], "left")
     before = Window.partitionBy(*doc).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     carried = pages.withColumn("code_number", F.last("last", ignorenulls=True).over(before)).where("code_number is not null")
     carried = carried.select(*doc, "page", F.lit(0).alias("top0"), F.coalesce(F.col("first") - SLACK, F.lit(FOOTER)).alias("top1"), "code_number").where("top1 > top0")
@@ -61,7 +64,7 @@ def bands(chars: DataFrame, doc: list[str]) -> DataFrame:
 def banded(rows: DataFrame, found: DataFrame, doc: list[str]) -> DataFrame:
     """Rows with the code of their band; bands of a page do not overlap, so rows are not multiplied."""
     b = found.select(*doc, "page", "top0", "top1", "code_number")
-    return rows.join(b, [*doc, "page"]).where((line() >= F.col("top0")) & (line() < F.col("top1"))).drop("top0", "top1")
+    return rows.hint("merge").join(b, [*doc, "page"]).where((line() >= F.col("top0")) & (line() < F.col("top1"))).drop("top0", "top1")
 
 
 def link_runs(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +78,7 @@ def covered(chars: DataFrame, rects: DataFrame, keys: list[str], margin: float =
     """Characters whose centre lies in a rectangle of a run, once for each run; an equi-join on page and code first."""
     c = chars.withColumn("__x", (F.col("x0") + F.col("x1")) / 2).withColumn("__y", (F.col("top") + F.col("bottom")) / 2).withColumn("__c", F.monotonically_increasing_id())
     r = rects.select(*keys, "page", "run", "uri", F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("top").alias("rt"), F.col("bottom").alias("rb"))
-    hit = c.join(r, [*keys, "page"]).where(F.col("__x").between(F.col("rx0") - margin, F.col("rx1") + margin) & F.col("__y").between(F.col("rt") - margin, F.col("rb") + margin))
+    hit = c.hint("merge").join(r, [*keys, "page"]).where(F.col("__x").between(F.col("rx0") - margin, F.col("rx1") + margin) & F.col("__y").between(F.col("rt") - margin, F.col("rb") + margin))
     names = [n for n in chars.columns if n not in (*keys, "page")]
     return hit.groupBy(*keys, "page", "run", "uri", "__c").agg(*[F.first(n).alias(n) for n in names])
 

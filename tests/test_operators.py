@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import json
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -391,6 +392,21 @@ def test_reference_table(spark):
     assert {(r.code_number, r.expected, r.found) for r in layout.citation_mismatches(df, links, ["doc"]).collect()} == {(2, 2, 1)}
 
 
+def exploded_page(spark):
+    """Characters and links that a plan explodes from few rows."""
+    at = spark.range(100).selectExpr("cast(id div 50 as int) as doc", "cast(id div 10 % 5 as int) as page", "cast(id as string) as n", "id % 10 * 50 + 20.0D as top")
+    char = lambda x, text: f"named_struct('x0', {x}D, 'x1', {x}D + 9, 'top', top, 'bottom', top + 8, 'text', {text})"
+    chars = at.selectExpr("doc", "page", f"inline(array({char(40, 'n')}, {char(100, repr('code'))}, {char(350, repr('Doe J (1999)'))}))")
+    links = at.selectExpr("doc", "page", "inline(array_repeat(named_struct('x0', 344.0D, 'x1', 380.0D, 'top', top, 'bottom', top + 8, 'uri', concat('http://x/', n)), cast(n as int) % 2))")
+    return chars, links
+
+
+def test_mismatches_broadcast_no_characters(spark):
+    df = layout.citation_mismatches(*exploded_page(spark), ["doc"])
+    assert not re.search(r"BroadcastHashJoin \[[^]]*\bpage#", df._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.code_number, r.expected, r.found) for r in df.collect()) == [(i, 1, 0) for i in range(0, 100, 2)]
+
+
 # corpus, store, readers, streaming, reports
 
 
