@@ -407,6 +407,12 @@ def test_mismatches_broadcast_no_characters(spark):
     assert sorted((r.code_number, r.expected, r.found) for r in df.collect()) == [(i, 1, 0) for i in range(0, 100, 2)]
 
 
+def test_references_broadcast_no_characters(spark):
+    df = layout.extract_references(*exploded_page(spark), ["doc"])
+    assert not re.search(r"BroadcastHashJoin \[[^]]*\bpage#", df._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.code_number, r.paper_name, r.url) for r in df.collect()) == [(i, "Doe J (1999)", f"http://x/{i}" if i % 2 else "") for i in range(100)]
+
+
 # corpus, store, readers, streaming, reports
 
 
