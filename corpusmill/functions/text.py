@@ -121,9 +121,16 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def token_windows(tokens: Column, size: int = 8192, overlap: int = 4096) -> Column:
-    """Windows of token arrays; an empty array has no window."""
-    n = F.size(tokens)
-    return F.when(n > 0, F.transform(window_starts(n, size, overlap), lambda s: F.slice(tokens, s + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+    """Windows of token arrays; an empty array has no window.
+
+    The array is bound by a transform over an array of one, else an expression for it would be made anew for each window.
+    """
+
+    def windows(t: Column) -> Column:
+        n = F.size(t)
+        return F.when(n > 0, F.transform(window_starts(n, size, overlap), lambda s: F.slice(t, s + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return F.get(F.transform(F.array(tokens), windows), F.lit(0))
 
 
 def prose_windows(text: Column, size: int = 12000, overlap: int = 1500) -> Column:

@@ -177,6 +177,14 @@ def test_token_windows(spark, n, want):
     assert value(df.select(X.token_windows(F.col("w"), 10, 4))) == [[str(i) for i in range(a, b)] for a, b in want]
 
 
+def test_windows_make_their_tokens_once(spark):
+    tokens = F.shuffle(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: i.cast("string")))
+    windows = value(spark.range(1).select(X.token_windows(tokens, 10, 5)))
+    assert len(windows) == 19 and all(a[5:] == b[:5] for a, b in zip(windows, windows[1:], strict=False))
+    assert sorted(int(t) for t in windows[0] + [t for w in windows[1:] for t in w[5:]]) == list(range(100))
+    assert value(spark.range(1).select(X.token_windows(F.lit(None).cast("array<string>"), 10, 5))) == []
+
+
 def test_prose_windows(spark):
     df = spark.createDataFrame([("abcdefghij",), ("  ",), ("abc",)], "t string")
     assert [r[0] for r in df.select(X.prose_windows(F.col("t"), 6, 2)).collect()] == [["abcdef", "efghij"], [], ["abc"]]
