@@ -326,6 +326,13 @@ def test_method_texts(spark):
     assert got == [("p", "full", 0, "a b c d e"), ("p", "abstract", 0, "a b"), ("p", "chunk", 0, "a b c"), ("p", "chunk", 1, "c d e")]
 
 
+def test_gated_verdicts_take_texts_to_python_by_rows(spark):
+    df = spark.createDataFrame([("met", "genetic code", "the genetic-code"), ("met", "a b", "b a"), ("unclear", "x", "x"), (None, "x", "y")], "verdict string, evidence_quote string, passage string")
+    gated = grounding.gate_verdicts(df)
+    assert "ArrowEvalPython" not in gated._jdf.queryExecution().executedPlan().toString()
+    assert [(r.verdict, r.grounding_failed) for r in gated.collect()] == [("unclear", True), ("unclear", True), ("unclear", False), (None, False)]
+
+
 # gold
 
 
