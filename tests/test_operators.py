@@ -333,6 +333,14 @@ def test_gated_verdicts_take_texts_to_python_by_rows(spark):
     assert [(r.verdict, r.grounding_failed) for r in gated.collect()] == [("unclear", True), ("unclear", True), ("unclear", False), (None, False)]
 
 
+def test_graded_cells_take_texts_to_python_by_rows(spark):
+    df = spark.createDataFrame([(0, 0.5, "not there", "some text"), (1, 0.0, "some", "some text"), (2, 0.5, "some", "some text"), (3, 0.0, " ", "some text")], "chunk_idx int, agreement double, evidence_quote string, passage string")
+    gated = grounding.gate_graded(df).withColumn("model", F.lit("j"))
+    zeroed = store.zeroed_with_quote(gated, ["j"])
+    assert "ArrowEvalPython" not in zeroed._jdf.queryExecution().executedPlan().toString() + grounding.classify_cells(df)._jdf.queryExecution().executedPlan().toString()
+    assert [r.chunk_idx for r in zeroed.collect()] == [0, 1]
+
+
 # gold
 
 
