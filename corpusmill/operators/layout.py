@@ -4,7 +4,8 @@
 only the code that a page hands on is carried over pages, in a window over one row a page of a document.
 
 Characters and links are often exploded from few stored rows. Spark estimates their size by the file that they come from
-and may broadcast them, so the joins on pages are merge joins by a hint.
+and may broadcast them, so the joins on pages are merge joins by a hint. So are those on codes, which are as many as rows of
+the table and, packed, look smaller than they are in the driver's memory.
 """
 
 from __future__ import annotations
@@ -97,8 +98,8 @@ def extract_references(chars: DataFrame, links: DataFrame, doc: list[str]) -> Da
     cited = in_column(inside, "citations")
     runs = link_runs(banded(citation_links(links), found, doc), keys)
     linked = reading_text(covered(cited, runs, keys), [*keys, "run", "uri"]).select(*keys, F.col("text").alias("paper_name"), F.col("uri").alias("url"))
-    bare = reading_text(cited, keys).join(runs.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("text").alias("paper_name"), F.lit("").alias("url"))
-    out = linked.unionByName(bare).join(names, keys, "left")
+    bare = reading_text(cited, keys).hint("merge").join(runs.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("text").alias("paper_name"), F.lit("").alias("url"))
+    out = linked.unionByName(bare).hint("merge").join(names, keys, "left")
     return out.select(*keys, F.coalesce("code_name", F.lit("")).alias("code_name"), "paper_name", "url")
 
 
@@ -107,5 +108,5 @@ def citation_mismatches(chars: DataFrame, links: DataFrame, doc: list[str]) -> D
     found, keys = bands(chars, doc), [*doc, "code_number"]
     expected = reading_text(in_column(banded(chars, found, doc), "citations"), keys).select(*keys, citation_count(F.col("text")).alias("expected"))
     runs = link_runs(banded(citation_links(links), found, doc), keys).groupBy(*keys).agg(F.count_distinct("run").alias("found"))
-    both = expected.join(runs, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    both = expected.hint("merge").join(runs, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
     return both.where("expected <> found")

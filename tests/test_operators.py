@@ -436,6 +436,13 @@ def test_references_broadcast_no_characters(spark):
     assert sorted((r.code_number, r.paper_name, r.url) for r in df.collect()) == [(i, "Doe J (1999)", f"http://x/{i}" if i % 2 else "") for i in range(100)]
 
 
+def test_references_and_mismatches_broadcast_no_codes(spark):
+    for find in (layout.extract_references, layout.citation_mismatches):
+        df = find(*exploded_page(spark), ["doc"])
+        assert len(df.collect()) == (100 if find is layout.extract_references else 50)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()  # the plan as it ran
+
+
 # corpus, store, readers, streaming, reports
 
 
